@@ -26,3 +26,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = jumped.select("node", "label")
         if jumped.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, cut_every: int = 5) -> DataFrame:
+    """nodes: id; edges: src, dst. Returns id, rank after exactly `iterations` steps.
+
+    Repeated edges and loops are collapsed, edges to unknown nodes dropped, the rank of nodes without links is spread
+    evenly. Each step is one join and one partial aggregation; the sum over such nodes is one row.
+    """
+    ids = cut(nodes.select("id").distinct())
+    n = ids.count()
+    if not n:
+        return ids.withColumn("rank", F.lit(0.0))
+    known = edges.where("src <> dst").select("src", "dst").distinct().join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    degree = known.groupBy("src").agg(F.count("*").alias("out"))
+    links = cut(known.join(degree, "src"))
+    ranks = ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank"))
+    for step in range(1, iterations + 1):
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
+        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
+        fresh = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
+        ranks = ranks.join(given, ranks["id"] == given["dst"], "left").join(F.broadcast(loose)).select("id", "out", fresh.alias("rank"))
+        if step % cut_every == 0 or step == iterations:
+            ranks = cut(ranks)
+    return ranks.select("id", "rank")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """node, degree, radius of undirected distinct edges; the radius grows with the square root up to degree 8."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    counted = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    return counted.withColumn("radius", 3.0 + 5.0 * F.least(F.lit(1.0), F.sqrt(F.col("degree") / 8)))

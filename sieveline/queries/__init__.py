@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.queries import evidence
+from sieveline.queries import evidence, maps, retrieval
 
-MODULES = (evidence,)
+MODULES = (evidence, retrieval, maps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

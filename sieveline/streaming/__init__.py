@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming versions: windowed counts with watermarks and incremental centroids."""
