@@ -9,8 +9,9 @@ salted blocks: an odd sketch folds the samples into a bitmap of parities, and th
 XOR estimates the similarity precisely where it is high, so that only pairs near or above the threshold are sent on to
 be confirmed on full sets. A pair within one component can't change the result, so no link is lost to the star of (2).
 
-With 40 bands of 5 samples a pair at similarity 0.8 shares no band with probability 1e-7, and the sketch's threshold
-lies five standard deviations below 0.8.
+With 30 bands of 5 samples a pair at similarity 0.8 shares no band with probability 7e-6. For sets up to some hundred
+shingles a second bitmap folds the whole set, which makes the count of differing shingles almost exact. Either sketch's
+threshold lies five standard deviations or more below the linking one.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and is its own component; repeated
 rows belong to one class and all keep the component (kept is by id, so repeated rows of the smallest id all stay);
@@ -35,12 +36,16 @@ from sieveline.llm.text import keep_columns, ship_package, small_batches
 from sieveline.operators.graph import connected_components
 from sieveline.plans.lineage import cut
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 30, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Similarity in percent from which documents are linked, and the sketch estimate from which a pair is confirmed.
 THRESHOLD = 80
-ESTIMATE_FROM = 0.66
+ESTIMATE_FROM = 0.64
+#: The bitmap of the whole set, the sizes of two sets together up to which it is used, and its threshold.
+PARITY_BITS = 2048
+PARITY_SIZES = 1500
+PARITY_FROM = 0.77
 #: Leaders a class is confirmed against at first.
 LEADERS = 3
 #: Classes of a bucket compared in one task.
@@ -98,8 +103,24 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return 1 - (-SKETCH_BITS / 2 * np.log(1 - share)) / (2 * SAMPLES)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """An odd sketch of the set itself."""
+    at = mixed(hashes) % np.uint64(PARITY_BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8))
+
+
+def possible(one: int, others: np.ndarray, sizes: np.ndarray, samples: np.ndarray, parities: np.ndarray, slack: float) -> np.ndarray:
+    """Which of the others may be similar enough to one, all given by position."""
+    total = sizes[others] + sizes[one]
+    by_samples = estimates(samples[one], samples[others]) >= ESTIMATE_FROM - slack
+    odd = POPCOUNT[parities[one] ^ parities[others]].sum(axis=1)
+    differ = -PARITY_BITS / 2 * np.log(1 - np.minimum(2 * odd / PARITY_BITS, 1 - 1e-9))
+    by_parity = (total - differ) / (total + differ) >= PARITY_FROM - slack
+    return np.where(total <= PARITY_SIZES, by_parity, by_samples)
+
+
 def sketches(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch."""
+    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch, parity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,16 +128,16 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
             for text in batch["text"]:
                 hashes = hashes_of(shingles(text, width))
                 if not len(hashes):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 samples = samples_of(hashes)
                 key = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                rows.append((len(hashes), key, bands_of(samples), odd_sketch(samples).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sketch"])
+                rows.append((len(hashes), key, bands_of(samples), odd_sketch(samples).tobytes(), parity(hashes).tobytes()))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sketch", "parity"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return documents.mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary")
+    return documents.mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary, parity binary")
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -160,10 +181,11 @@ def across_components(banded: DataFrame, classes: DataFrame, components: DataFra
     rows = placed.join(mixed_keys, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     as_member = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "component", F.lit(False).alias("outer"))
     as_outer = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("outer"))
-    described = as_member.union(as_outer).join(classes.select("rep", "bands", "sketch"), "rep")
+    described = as_member.union(as_outer).join(classes.select("rep", "bands", "sketch", "parity", "n_shingles"), "rep")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        bands, sketch = np.stack(block["bands"].to_numpy()), np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(len(block), -1)
+        bands, sizes = np.stack(block["bands"].to_numpy()), block["n_shingles"].to_numpy()
+        sketch, whole = (np.frombuffer(b"".join(block[c]), np.uint8).reshape(len(block), -1) for c in ("sketch", "parity"))
         reps, component, outer = block["rep"].to_numpy(), block["component"].to_numpy(), block["outer"].to_numpy()
         place = int(np.flatnonzero(bands[0] == block["key"].iloc[0])[0])
         members, found = np.flatnonzero(~outer), []
@@ -172,7 +194,7 @@ def across_components(banded: DataFrame, classes: DataFrame, components: DataFra
             if len(others):
                 first_shared = (bands[others] == bands[i]).argmax(axis=1) == place  # each pair in its first bucket only
                 others = others[first_shared]
-                others = others[estimates(sketch[i], sketch[others]) >= ESTIMATE_FROM - (THRESHOLD - percent) / 100]
+                others = others[possible(i, others, sizes, sketch, whole, (THRESHOLD - percent) / 100)]
                 found += [(max(reps[i], reps[j]), min(reps[i], reps[j])) for j in others]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -186,7 +208,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
     documents = keep_columns(documents, "doc_id", "text")
     described = cut(sketches(documents, width))
     alive = described.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = cut(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity", "n_shingles")]))
     banded = classes.select("rep", F.explode("bands").alias("key"))
     pairs = cut(leader_pairs(banded))
     sets = cut(sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("rep")), width))
