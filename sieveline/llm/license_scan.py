@@ -77,6 +77,7 @@ FRAMES = (
     ("{name} {version}", 65, 0.9),
     ("{name}", 50, 0.85),
     ("{short} license", 45, 0.8),
+    ("{short} {version}", 40, 0.7),
     ("{short} licence", 45, 0.8),
 )
 
