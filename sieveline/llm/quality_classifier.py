@@ -32,8 +32,10 @@ from sieveline.llm.text import keep_columns, ship_package, small_batches
 #: NONE: the labeller found nothing to object to; ABSENT: the text is too short for it to be asked.
 GOOD, BAD, NONE, ABSENT = 1, 0, -1, -2
 
-#: Rows the linear scorer is trained on at most, the first by a hash of the id.
+#: Rows the linear scorer is trained on at most, the first by a hash of the id and the text.
 TRAIN_ROWS = 6_000
+#: Rows whose hash lets them be considered, in expectation, as a multiple of TRAIN_ROWS: the rest never leaves its task.
+CONSIDERED = 4
 BUCKETS = 1 << 11
 KEEP_SCORE = 0.5
 #: Words that every share is drawn towards its usual value by: a short text tells little.
@@ -208,8 +210,16 @@ def train(documents: DataFrame) -> tuple[VoteModel, np.ndarray]:
             found = [features(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "votes": [list(votes(t)) for t in batch["text"]], "at": [list(f) for f in found], "value": [list(f.values()) for f in found]})
 
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS)
-    sample = chosen.mapInPandas(describe, "doc_id bigint, votes array<int>, at array<int>, value array<float>").toPandas()
+    place = F.xxhash64("doc_id", "text")
+    share = min(1.0, CONSIDERED * TRAIN_ROWS / max(float(tallies["n"].sum()), 1.0))
+
+    def described(considered: DataFrame) -> pd.DataFrame:
+        chosen = considered.orderBy(place, "doc_id").limit(TRAIN_ROWS)
+        return chosen.mapInPandas(describe, "doc_id bigint, votes array<int>, at array<int>, value array<float>").toPandas()
+
+    sample = described(rows.where(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))))
+    if not len(sample):  # few different rows, repeated so often that none has a low hash
+        sample = described(rows)
     if not len(sample):
         return model, np.concatenate((np.zeros(BUCKETS), [1.0]))
     good = model.good(np.array([list(v) for v in sample["votes"]]))
