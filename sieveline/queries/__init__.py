@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.queries import evidence, maps, retrieval
+from sieveline.queries import evidence, maps, models, retrieval
 
-MODULES = (evidence, retrieval, maps)
+MODULES = (evidence, retrieval, maps, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
