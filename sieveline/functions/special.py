@@ -9,6 +9,8 @@ import math
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
+
 NORMAL = NormalDist()
 #: The 97.5 % point of the normal law, and the sum with its 80 % point that the detectable effect uses.
 Z975 = NORMAL.inv_cdf(0.975)
@@ -87,3 +89,52 @@ def assurance(estimate: float, prior_variance: float, se: float, alpha: float =
     """Expected power of a trial with this standard error when the effect is normal about the estimate."""
     bound, spread = NORMAL.inv_cdf(1 - alpha / 2) * se, math.sqrt(prior_variance + se * se)
     return min(1.0, max(0.0, NORMAL.cdf((-bound - estimate) / spread) + NORMAL.cdf((estimate - bound) / spread)))
+
+
+def beta_fractions(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """`beta_fraction` of many arguments at once."""
+    kept = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1.0 / kept(1.0 - (a + b) * x / (a + 1.0))
+    total = d.copy()
+    for m in range(1, 400):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 / kept(1.0 + term * d), kept(1.0 + term / c)
+            total *= c * d
+        if np.all(np.abs(c * d - 1.0) < 1e-15):
+            break
+    return total
+
+
+def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tails of Student's law at t >= 0."""
+    a, b, x, y = df / 2, np.full_like(df, 0.5), df / (df + t * t), t * t / (df + t * t)
+    scale = np.array([math.lgamma(p + 0.5) - math.lgamma(p) - math.lgamma(0.5) for p in a])
+    with np.errstate(divide="ignore"):
+        front = np.exp(scale + a * np.log(x) + 0.5 * np.log(y))
+    swapped = x >= (a + 1) / (a + b + 2)
+    fraction = beta_fractions(np.where(swapped, b, a), np.where(swapped, a, b), np.where(swapped, y, x))
+    return 0.5 * np.where(swapped, 1 - front * fraction / b, front * fraction / a)
+
+
+#: From this many degrees of freedom on, Student's points are expanded about the normal ones.
+MANY_DF = 10_000
+
+
+def t_upper(tail: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Points of Student's law with these upper tails, many at once; infinite df stands for the normal law; nan where a
+    tail isn't within (0, 1) or df isn't positive."""
+    tail, df = np.asarray(tail, "float64"), np.asarray(df, "float64")
+    out = np.full(tail.shape, np.nan)
+    fine = (tail > 0) & (tail < 1) & (df > 0)
+    half, sign = np.minimum(tail, 1 - tail), np.where(tail <= 0.5, 1.0, -1.0)
+    if (many := fine & (df >= MANY_DF)).any():
+        z, n = np.array([-NORMAL.inv_cdf(p) for p in half[many]]), df[many]
+        out[many] = z + (z**3 + z) / (4 * n) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * n * n)
+    if (few := fine & (df < MANY_DF)).any():
+        low, high = np.full(few.sum(), -30.0), np.full(few.sum(), 50.0)
+        for _ in range(70):
+            middle = (low + high) / 2
+            above = t_tails(np.exp(middle), df[few]) > half[few]
+            low, high = np.where(above, middle, low), np.where(above, high, middle)
+        out[few] = np.where(half[few] == 0.5, 0.0, np.exp((low + high) / 2))
+    return sign * out

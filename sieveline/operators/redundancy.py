@@ -22,10 +22,10 @@ HIGH_I2, SPARSE, RESOLVED = 0.6, 0.5, 80.0
 
 
 def finding(estimate: Column, se: Column, low: float, high: float, alpha: float = 0.05) -> Column:
-    """equivalent if the interval of level 1 - 2 alpha lies within [low, high], then benefit or harm if the interval of level
+    """clinically_equivalent if the interval of level 1 - 2 alpha lies within [low, high], then benefit or harm if the interval of level
     1 - alpha lies beyond it, else inconclusive; null without an estimate or a positive error."""
     narrow, wide = NORMAL.inv_cdf(1 - alpha) * se, NORMAL.inv_cdf(1 - alpha / 2) * se
-    found = F.when((estimate - narrow >= low) & (estimate + narrow <= high), "equivalent").when(estimate - wide > high, "benefit").when(estimate + wide < low, "harm").otherwise("inconclusive")
+    found = F.when((estimate - narrow >= low) & (estimate + narrow <= high), "clinically_equivalent").when(estimate - wide > high, "benefit").when(estimate + wide < low, "harm").otherwise("inconclusive")
     return F.when(estimate.isNotNull() & (se > 0), found)
 
 
@@ -72,22 +72,22 @@ def reml(studies: DataFrame, by: list[str], estimate: str = "estimate", variance
 
 
 def redundancy(pools: DataFrame, low: float, high: float, precision: float = 0.5) -> DataFrame:
-    """Adds harm, negligible, benefit (probabilities of a next study's zone), resolution, maturity, score and status."""
+    """Adds harm, clinically_negligible, benefit (probabilities of a next study's zone), resolution, maturity, score and status."""
 
-    @F.pandas_udf("struct<harm:double,negligible:double,benefit:double>")
+    @F.pandas_udf("struct<harm:double,clinically_negligible:double,benefit:double>")
     def zones(mean: pd.Series, sd: pd.Series) -> pd.DataFrame:
         below = [NORMAL.cdf((low - m) / s) for m, s in zip(mean, sd, strict=True)]
         above = [1 - NORMAL.cdf((high - m) / s) for m, s in zip(mean, sd, strict=True)]
-        return pd.DataFrame({"harm": below, "negligible": [max(0.0, 1 - b - a) for b, a in zip(below, above, strict=True)], "benefit": above})
+        return pd.DataFrame({"harm": below, "clinically_negligible": [max(0.0, 1 - b - a) for b, a in zip(below, above, strict=True)], "benefit": above})
 
-    names = ("harm", "negligible", "benefit")
+    names = ("harm", "clinically_negligible", "benefit")
     spread = pools.withColumn("_z", zones("mean", F.sqrt(F.col("tau2") + F.col("se") * F.col("se")))).select("*", "_z.*").drop("_z")
     entropy = -sum((F.when(F.col(n) > 0, F.col(n) * F.ln(n)).otherwise(0.0) for n in names), F.lit(0.0))
     target = min(abs(low), abs(high)) * precision / Z975
     scored = spread.withColumns({"resolution": 1 - entropy / math.log(3), "maturity": F.least(F.lit(1.0), F.col("information") * target * target)})
     scored = scored.withColumn("score", 100 * F.col("resolution") * F.col("maturity"))
     largest = F.greatest(*names)
-    zone = F.when(F.col("harm") == largest, "harm").when(F.col("negligible") == largest, "negligible").otherwise("benefit")
+    zone = F.when(F.col("harm") == largest, "harm").when(F.col("clinically_negligible") == largest, "clinically_negligible").otherwise("benefit")
     torn = F.coalesce((F.col("i2") >= HIGH_I2) & (F.col("prediction_low") < low) & (F.col("prediction_high") > high), F.lit(False))
     status = F.when(torn, "conflicting_evidence").when(F.col("maturity") < SPARSE, "sparse_or_imprecise").when(F.col("score") >= RESOLVED, F.concat(F.lit("resolved_"), zone)).otherwise("uncertain")
     return scored.withColumn("status", status)

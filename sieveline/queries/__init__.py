@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.queries import evidence, maps, models, retrieval
+from sieveline.queries import evidence, maps, models, retrieval, studies
 
-MODULES = (evidence, retrieval, maps, models)
+MODULES = (evidence, retrieval, maps, models, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -95,7 +95,7 @@ n AS (SELECT label, count(*) FILTER (past) AS a, count(*) FILTER (past AND quali
 s AS (SELECT *, CASE WHEN a < 5 THEN 'thin' WHEN dark / a >= 0.34 THEN 'dark' WHEN nulls / a >= 0.5 THEN 'null_saturated' WHEN least(nulls, effects) / a >= 0.25 THEN 'contested' WHEN seen / a < 0.1 THEN 'unread' ELSE 'active' END AS state FROM n WHERE a > 0)
 SELECT state, count(*)::BIGINT AS regions, sum(a)::BIGINT AS prior_attempts, sum(later)::BIGINT AS later_papers, sum(later_null)::BIGINT AS later_null, sum(later_effect)::BIGINT AS later_effect, round(CASE WHEN sum(later) > 0 THEN sum(later_null) / sum(later) END, 6) AS later_null_share FROM s GROUP BY state""",
     "findings": f"""WITH {ARMS_SQL} SELECT p_brand, p_type, CASE WHEN estimate IS NULL OR NOT se > 0 THEN NULL
-  WHEN estimate - 1.6448536269514715 * se >= -0.2 AND estimate + 1.6448536269514715 * se <= 0.2 THEN 'equivalent' WHEN estimate - 1.959963984540054 * se > 0.2 THEN 'benefit'
+  WHEN estimate - 1.6448536269514715 * se >= -0.2 AND estimate + 1.6448536269514715 * se <= 0.2 THEN 'clinically_equivalent' WHEN estimate - 1.959963984540054 * se > 0.2 THEN 'benefit'
   WHEN estimate + 1.959963984540054 * se < -0.2 THEN 'harm' ELSE 'inconclusive' END AS finding FROM effects""",
     "inverted_text": r"SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' '), '') AS text FROM documents",
 }

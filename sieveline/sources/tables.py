@@ -43,3 +43,16 @@ def plan_manifest(files: DataFrame, skip: int = 0, take: int | None = None, larg
 
 def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header line, by column name: columns that the files lack are null, further ones ignored."""
+    names = spark.read.option("header", True).csv(path).columns
+    wanted = spark.createDataFrame([], schema).schema
+    have = {c: c for c in names}
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return raw.select(*[(F.col(f"`{have[f.name]}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).option("escape", '"').csv(path)

@@ -31,7 +31,7 @@ def test_reml_equals_a_fine_search(spark):
     w = 1 / (v + fine)
     assert found["spread"]["mean"] == pytest.approx((w * y).sum() / w.sum(), rel=1e-4)
     scored = {r["g"]: r for r in D.redundancy(spark.createDataFrame(list(found.values())), -0.2, 0.2).collect()}
-    assert all(abs(r["harm"] + r["negligible"] + r["benefit"] - 1) < 1e-9 and 0 <= r["resolution"] <= 1 for r in scored.values())
+    assert all(abs(r["harm"] + r["clinically_negligible"] + r["benefit"] - 1) < 1e-9 and 0 <= r["resolution"] <= 1 for r in scored.values())
 
 
 def test_kmeans_finds_clumps_and_pca_equals_numpy(spark):
