@@ -223,6 +223,15 @@ def test_lines(spark):
     assert found == {1: rows[0][1], 2: "other words here entirely different", 3: "", 4: "---\n---"}
 
 
+def test_lines_between_two_alike_ones(spark):
+    """Lines of the same words in other orders share every block but aren't alike; they don't part two lines that are."""
+    rng = random.Random(6)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+    lines = [" ".join(words)] + [" ".join(rng.sample(words, 40)) for _ in range(30)] + [" ".join([words[1], words[0], *words[2:]])]
+    found = line_dedup.deduplicated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found if r["n_removed"]} == {31}
+
+
 def test_exact_lines_against_brute_force(spark):
     documents = table(spark, "documents")
     found = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated_lines(documents).collect()}
