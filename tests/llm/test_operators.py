@@ -232,6 +232,21 @@ def test_lines_between_two_alike_ones(spark):
     assert {r["doc_id"] for r in found if r["n_removed"]} == {31}
 
 
+def test_fuzzy_lines_of_any_length(spark):
+    """A fifth of the words changed in few characters, or one word replaced: all are within the stated similarity."""
+    rng, lines = random.Random(8), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    for n in [5, 6, 7, 8, 10, 12, 15, 16, 20, 40, 80, 150]:
+        first = [word() for _ in range(n)]
+        typos, replaced = list(first), list(first)
+        for k in rng.sample(range(n), max(1, n // 5)):
+            typos[k] = "z" + typos[k][1:]
+        replaced[n // 2] = "new"
+        lines.append(["\n".join(map(" ".join, (first, typos, replaced)))])
+    found = line_dedup.deduplicated_lines(spark.createDataFrame([(k, t) for k, [t] in enumerate(lines)], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == dict.fromkeys(range(12), 2)
+
+
 def test_exact_lines_against_brute_force(spark):
     documents = table(spark, "documents")
     found = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated_lines(documents).collect()}
