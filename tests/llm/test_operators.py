@@ -247,6 +247,12 @@ def test_fuzzy_lines_of_any_length(spark):
     assert {r["doc_id"]: r["n_removed"] for r in found} == dict.fromkeys(range(12), 2)
 
 
+def test_lines_that_differ_in_digits(spark):
+    lines = ["1024", "7777", "Tel 555 1234", "Tel 888 9876", "11 22 33 44 55 66", "77 88 99 10 20 30", "Tel: 555-1234"]
+    found = line_dedup.deduplicated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found if r["n_removed"]} == {6}
+
+
 def test_exact_lines_against_brute_force(spark):
     documents = table(spark, "documents")
     found = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated_lines(documents).collect()}
