@@ -253,6 +253,14 @@ def test_lines_that_differ_in_digits(spark):
     assert {r["doc_id"] for r in found if r["n_removed"]} == {6}
 
 
+def test_lines_of_documents_without_an_id(spark):
+    same, near = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine tin"
+    rows = [(None, f"{same}\nfirst only here"), (None, f"other text\n{same}"), (None, "plain\nunlike all"), (3, f"kept words\n{near}"), (4, "a\nb"), (4, "c\nb")]
+    found = line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    left = sorted(x for r in found for x in r["text"].split("\n") if x)
+    assert left == sorted(["first only here", "other text", "plain", "unlike all", "kept words", "a", "b", "c", same])
+
+
 def test_exact_lines_against_brute_force(spark):
     documents = table(spark, "documents")
     found = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated_lines(documents).collect()}
