@@ -173,6 +173,12 @@ def leader_pairs(banded: DataFrame) -> DataFrame:
     return shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
 
 
+def sharing(banded: DataFrame) -> DataFrame:
+    """rep: the classes that share a band with another class, in a kept pair or not."""
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return banded.join(shared, "key", "left_semi").select("rep").distinct()
+
+
 def across_components(banded: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that the sketches deem possible."""
     placed = banded.join(components, banded["rep"] == components["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -211,10 +217,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
     classes = cut(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity", "n_shingles")]))
     banded = classes.select("rep", F.explode("bands").alias("key"))
     pairs = cut(leader_pairs(banded))
-    sets = cut(sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("rep")), width))
+    reps = cut(sharing(banded))
+    sets = cut(sets_of(documents, reps, width))
     links = cut(confirm(pairs, sets, percent))
     components = connected_components(links, "a", "b")
-    further = confirm(cut(across_components(banded.join(sets.select("rep"), "rep", "left_semi"), classes, components, percent)), sets, percent)
+    further = confirm(cut(across_components(banded.join(reps, "rep", "left_semi"), classes, components, percent)), sets, percent)
     further = cut(further)
     if not further.isEmpty():
         components = connected_components(links.union(further), "a", "b")

@@ -74,6 +74,19 @@ def test_near_duplicates_against_brute_force(spark):
         assert found == components(texts, width, 80)
 
 
+def test_classes_that_lose_all_pairs_stay_candidates(spark):
+    """A class that leads each bucket it shares, by id and by hash, whose partners keep three other leaders."""
+    from pyspark.sql import functions as F
+
+    x = spark.range(1, 100).orderBy(F.xxhash64("id")).first()["id"]
+    ids = range(x + 1, 200)
+    leaders, partners = ids[:3], ids[50:52]
+    rows = [(10 * n + k, r) for n, leader in enumerate(leaders) for k in (0, 1) for r in (leader, *partners)] + [(99, r) for r in (x, *partners)]
+    banded = spark.createDataFrame(rows, "key bigint, rep bigint")
+    kept = {i for r in minhash.leader_pairs(banded).collect() for i in r}
+    assert x not in kept and {r["rep"] for r in minhash.sharing(banded).collect()} == {x, *leaders, *partners}
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
