@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over normalised words, gated by keywords, with suppression.
 
-A rule is a phrase pattern of words with a label, a priority and a confidence. A rule is tried on a text only if the
-rule's keywords all occur in it. Detections are word intervals. A detection that lies within the interval of a kept
+A rule has a label, a priority and a confidence. Signatures are literal phrases, generated from sentence frames and
+names; written rules are regexes with optional words, fused versions (GPLv2) and tags (license: MIT). A rule is tried on
+a text only if its keywords occur in it. Detections are word intervals. A detection that lies within the interval of a kept
 one of the same or a higher priority is suppressed.
 
 Defined results: a null or blank text has no words, no detections, null positions, empty labels and score 0; rows are
@@ -123,6 +124,56 @@ class Signature:
         return re.compile(rb"(?<![" + WORD_BYTES + rb"])" + gap.join(re.escape(w.encode()) for w in self.words) + rb"(?![" + WORD_BYTES + rb"])")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A written rule: tried if of each of its gates one keyword is in the text."""
+
+    label: str
+    priority: int
+    confidence: float
+    gates: tuple[tuple[bytes, ...], ...]
+    pattern: re.Pattern[bytes]
+
+
+def written(pattern: str) -> re.Pattern[bytes]:
+    """A regex of words in which a space is any gap between words and ~ a gap or none."""
+    gap = "[^0-9a-z\\x80-\\xff]+"
+    body = pattern.replace("~", f"(?:{gap})?").replace(" ", gap)
+    return re.compile(f"(?<![0-9a-z\\x80-\\xff])(?:{body})(?![0-9a-z\\x80-\\xff])".encode())
+
+
+# Written rules of each family: {s} short names, {x} any name, {v} a version with its optional words.
+VERSIONED = "(?:~(?:version|ver|v)~| ){number}(?: 0)?(?: only| (?:or|and) (?:at your option )?(?:any |a )?(?:later|newer|above|greater)(?: versions?)?)?"
+RULES = (
+    ("(?:re)?(?:licen[sc]ed|released|distributed|distributable|available|published|provided|covered|issued|shared) under (?:an? |the )?(?:terms (?:and conditions )?of (?:an? |the )?)?{x}(?: licen[sc]e)?{v}?", 80, 0.97, (b"under",)),
+    ("under (?:the )?(?:same )?terms (?:and conditions )?of (?:an? |the )?{x}(?: licen[sc]e)?{v}?", 85, 0.98, (b"under",)),
+    ("{x}(?: licen[sc]e)?{v}", 66, 0.9, (b"0", b"1", b"2", b"3", b"4")),
+    ("licen[sc]es?[\"']?[\\x20\\t]*[:=][\\x20\\t]*[\"'(\\[]*{s}{v}?", 62, 0.9, (b"licen",)),
+)
+
+def family_rules() -> list[Rule]:
+    out = []
+    for label, names, shorts, versions in FAMILIES:
+        s = "(?:" + "|".join(sorted(shorts, key=len, reverse=True)) + ")"
+        x = "(?:" + "|".join(sorted((*names, *shorts), key=len, reverse=True)).replace("license", "licen[sc]e") + ")"
+        numbers = {v.replace(".", " ") for v in versions} | {v.split(".")[0] for v in versions} | ({"2 5"} if label.startswith("cc-") else set())
+        v = "(?:" + VERSIONED.format(number="(?:" + "|".join(sorted(numbers, key=len, reverse=True)) + ")") + ")" if numbers else ""
+        anchors = tuple(sorted({max(words_in(n), key=len).encode() if n in shorts else words_in(n)[0].encode() for n in (*names, *shorts)}))
+        for rule, priority, confidence, gate in RULES:
+            if "{v}" in rule and rule.endswith("{v}") and not v:
+                continue
+            text = rule.replace("{v}?", v + "?" if v else "").replace("{v}", v).replace("{s}", s).replace("{x}", x)
+            out.append(Rule(label, priority, confidence, (anchors, gate), written(text)))
+        # Short names that say a license alone; cc-by needs its hyphen, as "cc by" is also plain English.
+        if label in ("gpl", "lgpl", "agpl"):
+            out.append(Rule(label, 35, 0.6, ((label.encode(),),), written(label)))
+        elif label.startswith("cc-by-"):
+            out.append(Rule(label, 42, 0.75, ((b"cc",),), written(label.replace("-", " "))))
+        elif label == "cc-by":
+            out.append(Rule(label, 42, 0.75, ((b"cc-by",),), written("cc-by")))
+    return out
+
+
 def words_in(phrase: str) -> tuple[str, ...]:
     return tuple(re.findall(r"[0-9a-z]+", phrase.lower()))
 
@@ -142,6 +193,11 @@ def signatures() -> tuple[Signature, ...]:
     return tuple(sorted(rules.values(), key=lambda r: (-r.priority, -len(r.words), r.label, r.words)))
 
 
+@cache
+def written_rules() -> tuple[Rule, ...]:
+    return tuple(family_rules())
+
+
 @cache
 def gated() -> tuple[tuple[bytes, tuple[tuple[Signature, tuple[bytes, ...], re.Pattern[bytes]], ...]], ...]:
     """Rules with their further keywords, by the first keyword."""
@@ -166,7 +222,7 @@ def word_starts(body: bytes) -> np.ndarray:
 class Detection:
     start: int
     end: int
-    rule: Signature
+    rule: Signature | Rule
 
 
 def suppress(found: list[Detection]) -> list[Detection]:
@@ -186,6 +242,9 @@ def detect(body: bytes, starts: np.ndarray) -> list[Detection]:
             for rule, rest, pattern in rules:
                 if all(k in body for k in rest):
                     found += [Detection(at := int(np.searchsorted(starts, m.start())), at + len(rule.words), rule) for m in pattern.finditer(body)]
+    for rule in written_rules():
+        if all(any(k in body for k in gate) for gate in rule.gates):
+            found += [Detection(int(np.searchsorted(starts, m.start())), int(np.searchsorted(starts, m.end())), rule) for m in rule.pattern.finditer(body)]
     return suppress(found)
 
 

@@ -201,6 +201,15 @@ def test_licenses_by_words(spark):
     assert "cc-by-nc" in found[3]["labels"].split(",") and found[4]["score"] == 0 and len(license_scan.signatures()) > 300
 
 
+@pytest.mark.parametrize("text,label", [("licensed under the GPL", "gpl"), ("under the terms of the GPL", "gpl"), ("GPLv2", "gpl"), ("GPLv3+", "gpl"), ("LGPLv2.1", "lgpl"), ("GPL v3", "gpl"), ("GPL version 2 or any later version", "gpl"), ("Apache 2", "apache"), ("license: MIT", "mit"), ("CC-BY-SA", "cc-by-sa"), ("released under a CC BY-SA 4.0 licence", "cc-by-sa"), ("we submit it under protest, cc by mail", "")])
+def test_notices_in_their_common_forms(text, label):
+    assert license_scan.scan(text)[5] == label
+
+
+def test_version_is_part_of_the_detection():
+    assert [d[1:3] for d in license_scan.scan("the GNU General Public License v3")[-1]] == [(1, 6)]
+
+
 def test_suppression_keeps_the_longer_rule():
     body = b"licensed under the gnu lesser general public license"
     kept = license_scan.detect(body, license_scan.word_starts(body))
