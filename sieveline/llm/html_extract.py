@@ -6,7 +6,7 @@ importance (entropy of its text), both relative to the most that so many pages a
 either is template noise, and its branch is removed from each page. On each page, branches that markup itself declares to
 be no content (menus, forms, adverts, comments, ...) go too, and if the page marks its article, the text is that of
 the article. A branch of low importance that holds most of an article's text stays: copies of one article on one host
-aren't noise.
+aren't noise. Neither is text that no other page of the host has at that node, nor what would leave a page empty.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by newlines
 in page order; a line break element is white space.
@@ -32,9 +32,9 @@ from sieveline.llm.text import keep_columns, ship_package, small_batches
 from sieveline.plans.lineage import cut
 
 #: Pages that a host needs before importance is judged, and the importance below which a branch goes.
-MIN_PAGES = 8
+MIN_PAGES = 3
 MIN_IMPORTANCE = 0.2
-#: A low branch with more than this share of the article's text stays.
+#: A low branch, all its nodes together, with more than this share of the article's text stays.
 MAX_SHARE = 0.5
 #: Rows (host, node) of low importance that may be broadcast; beyond that the hosts are joined by a shuffle.
 BROADCAST_NODES = 50_000
@@ -228,6 +228,10 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def body_of(nodes: list[Node]) -> int:
+    return digest("\n".join(map(raw_text, nodes)))
+
+
 def raw_text(node: Node) -> str:
     out, stack = [], [node]
     while stack:
@@ -241,12 +245,13 @@ def raw_text(node: Node) -> str:
 
 def page_styles(html: str) -> list[tuple[int, int, int]]:
     """(node, hash of its children's tags, hash of its text) for each style node of a page."""
-    return [(key, digest("|".join(",".join(c.step for c in n.children if isinstance(c, Node)) for n in nodes)), digest("\n".join(map(raw_text, nodes)))) for key, nodes in style_nodes(parse(html)).items()]
+    return [(key, digest("|".join(",".join(c.step for c in n.children if isinstance(c, Node)) for n in nodes)), body_of(nodes)) for key, nodes in style_nodes(parse(html)).items()]
 
 
 def low_branches(root: Node, roots: list[Node], low: frozenset[int]) -> set[int]:
-    """Nodes to remove for their low importance: never a root of the content, a text element of an article, or a branch with
-    most of the text."""
+    """Nodes to remove for their low importance: never a root of the content, a text element of an article, text of this
+    page only, or a branch whose nodes together have most of the text; none if no text were left. low holds the XOR of a style
+    node and a text that several pages have there."""
     if not low:
         return set()
     total = sum(len(raw_text(r)) for r in roots)
@@ -259,13 +264,9 @@ def low_branches(root: Node, roots: list[Node], low: frozenset[int]) -> set[int]
             node = node.parent
     removed = set()
     for key, nodes in style_nodes(root).items():
-        if key in low:
-            for n in nodes:
-                if id(n) in tops | above or (n.tag in TEXT_TAGS and inside_article(n)):
-                    continue
-                if len(raw_text(n)) <= MAX_SHARE * total:
-                    removed.add(id(n))
-    return removed
+        if key ^ body_of(nodes) in low and sum(len(raw_text(n)) for n in nodes) <= MAX_SHARE * total:
+            removed |= {id(n) for n in nodes if not (id(n) in tops | above or (n.tag in TEXT_TAGS and inside_article(n)))}
+    return removed if removed and blocks_of(roots, removed) else set()
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
@@ -281,15 +282,19 @@ def with_host(pages: DataFrame) -> DataFrame:
     return keep_columns(pages, "page_id", "url", "html").withColumn("host", host)
 
 
-def node_importance(hosted: DataFrame) -> DataFrame:
-    """host, node, pages, presentation, content: importances from 0 (all pages alike) to 1 (all different)."""
+def seen_styles(hosted: DataFrame) -> DataFrame:
+    """host, node, style, body: a row for each style node of each page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(host, *style) for host, html in zip(batch["host"], batch["html"], strict=True) if html for style in page_styles(html)]
             yield pd.DataFrame(rows, columns=["host", "node", "style", "body"])
 
-    seen = cut(hosted.select("host", "html").mapInPandas(run, "host string, node bigint, style bigint, body bigint"))
+    return cut(hosted.select("host", "html").mapInPandas(run, "host string, node bigint, style bigint, body bigint"))
+
+
+def node_importance(seen: DataFrame) -> DataFrame:
+    """host, node, pages, presentation, content: importances from 0 (all pages alike) to 1 (all different)."""
 
     def entropy(by: str, name: str) -> DataFrame:
         counts = seen.groupBy("host", "node", by).agg(F.count("*").alias("c"))
@@ -300,10 +305,12 @@ def node_importance(hosted: DataFrame) -> DataFrame:
     return entropy("style", "presentation").join(entropy("body", "content").drop("pages"), ["host", "node"])
 
 
-def low_nodes(importance: DataFrame) -> DataFrame:
-    """host, low: the nodes of each host whose presentation and content both hardly vary."""
-    low = importance.where((F.col("pages") >= MIN_PAGES) & (F.greatest("presentation", "content") < MIN_IMPORTANCE))
-    return low.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("low"))
+def low_nodes(seen: DataFrame) -> DataFrame:
+    """host, low: the nodes of each host whose presentation and content both hardly vary, each with the texts that several
+    pages have there."""
+    low = node_importance(seen).where((F.col("pages") >= MIN_PAGES) & (F.greatest("presentation", "content") < MIN_IMPORTANCE))
+    repeated = seen.groupBy("host", "node", "body").agg(F.count("*").alias("n")).where("n > 1").join(low.select("host", "node"), ["host", "node"])
+    return repeated.groupBy("host").agg(F.array_sort(F.collect_set(F.col("node").bitwiseXOR(F.col("body")))).alias("low"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -311,7 +318,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     ship_package(pages.sparkSession)
     small_batches(pages.sparkSession)
     hosted = with_host(pages)
-    low = cut(low_nodes(node_importance(hosted)))
+    low = cut(low_nodes(seen_styles(hosted)))
     size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0]
     joined = hosted.join(F.broadcast(low) if size <= BROADCAST_NODES else low, "host", "left")
 

@@ -236,6 +236,18 @@ def test_copies_of_an_article_stay(spark):
     assert {r["text"] for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()} == {"The same article."}
 
 
+def test_unique_pages_among_copies_stay(spark):
+    """Pages without a marked article: 38 copies of one text, a page of its own, and a small host with a template."""
+    page = "<html><body>{}</body></html>"
+    text = lambda name: "\n".join(f"{name} paragraph {k} of some length." for k in range(3))
+    html = lambda t: page.format("".join(f"<p>{x}</p>" for x in t.split("\n")))
+    rows = [(k, "http://site.example/a", html(text("Copied"))) for k in range(38)] + [(38, "http://site.example/b", html(text("Unique")))]
+    rows += [(k, "http://small.example/", page.format(f"<div class='box'>On every page</div><p>The story of number {k} is long.</p>")) for k in (50, 51, 52)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found[38] == text("Unique") and {found[k] for k in range(38)} == {text("Copied")}
+    assert [found[k] for k in (50, 51, 52)] == [f"The story of number {k} is long." for k in (50, 51, 52)]
+
+
 def test_lines(spark):
     rng = random.Random(4)
     line = " ".join(f"token{rng.randrange(10_000)}" for _ in range(150))
