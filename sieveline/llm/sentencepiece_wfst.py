@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three parts: the normaliser (text to normalised text: a dummy prefix, escaped or merged
-spaces), the pieces (normalised text to ids) and the byte fallback (one arc of byte ids for a character without a
-piece). Composing them with an input gives a lattice over its positions; the encoding is the lattice's shortest path
-in the tropical semiring (weights add along a path, the least total wins).
+A model file is compiled into three transducers: the normaliser (text to normalised text: the model's character map, of
+which the longest matching key is rewritten, then merged spaces, a dummy prefix, escaped spaces), the pieces (normalised
+text to ids) and the byte fallback (one arc of byte ids for a character without a piece; without byte pieces, a run of
+such characters is one unknown id). The normaliser has one path for each input, so composing it first gives one string;
+composing that with pieces and fallback gives a lattice over its positions, and the encoding is the lattice's shortest
+path in the tropical semiring (weights add along a path, the least total wins).
 
 A unigram model's arc weighs minus its piece's score. A BPE model's weights stand between arcs: a state remembers the
 piece that led to it, and a following piece weighs 0 if merging the two pieces' text from scratch by the model's scores
 gives exactly these two pieces, else infinity. A sequence of pieces is what BPE makes of a text exactly if each
-adjacent pair is, so one path has a finite weight, and each position keeps one state.
+adjacent pair is, so one path has a finite weight, and each position keeps one state. User-defined pieces are taken from
+the left, the longest first, before a BPE lattice is built; in a unigram lattice they are arcs of little weight.
 
 Inputs are cut where no piece can cross (before a space that no piece holds inside, around characters that are in no
 longer piece), so that chunks recur and their paths are looked up.
@@ -21,6 +24,7 @@ spaces restored, so U+2581 in a text comes back as a space. Texts are encoded wh
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,9 +41,12 @@ UNIGRAM, BPE = 1, 2
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
-#: Chunks and pairs of pieces that a worker remembers at most; the older half goes when there are more.
-CACHE_CHUNKS = 150_000
-CACHE_PAIRS = 500_000
+#: Chunks and pairs of pieces that a worker remembers at most, in each of two halves of which the older goes when the
+#: newer is full, and the length up to which a chunk is remembered: some 100 MB a half at most.
+CACHE_CHUNKS = 500_000
+CACHE_LINKS = 50_000
+CACHE_LENGTH = 32
+CACHE_PAIRS = 400_000
 
 
 class Halves(dict):
@@ -53,6 +60,8 @@ class Halves(dict):
         value = self.older.get(key)
         if value is None:
             value = self.fill(key)
+            if isinstance(key, str) and len(key) > CACHE_LENGTH:
+                return value
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -69,6 +78,8 @@ class Transducer:
     dummy_prefix: bool = True
     merge_spaces: bool = False
     escape_spaces: bool = True
+    space_suffix: bool = False
+    charsmap: bytes = b""
     ids: dict[str, int] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -76,11 +87,28 @@ class Transducer:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.longest = max(map(len, self.ids), default=1)
-        self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
+        normal = [self.scores[i] for i, k in enumerate(self.kinds) if k == NORMAL]
+        self.worst = min(normal, default=0.0) - 10.0
+        user = sorted((p for p, i in self.ids.items() if self.kinds[i] == USER_DEFINED), key=len, reverse=True)
+        self._user = re.compile(f"({'|'.join(map(re.escape, user))})") if user else None
+        self._user_ids = {p: np.array([self.ids[p]], np.int32).tobytes() for p in user}
+        if self.algorithm == BPE:  # they never merge
+            for p in user:
+                self.ids.pop(p)
+        # Fixed rule of the model format: a user-defined arc weighs its bytes times the best score (0 at least), less 0.1.
+        best = max([0.0, *normal])
+        self._weights = [0.1 - len(p.encode()) * best if k == USER_DEFINED else -s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
+        self._map = read_charsmap(self.charsmap)
+        self._map_length = {}
+        for key in self._map:
+            self._map_length[key[0]] = max(len(key), self._map_length.get(key[0], 0))
+        merged = Counter(self.scores[i] for p, i in self.ids.items() if len(p) > 1)
+        self._tied = {s for s, n in merged.items() if n > 1}
+        self._spines: dict[int, tuple[list[str], list[str]] | None] = {}
         self._joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._tails = self._compile_tails()
         self._chunks = Halves(self._encode_chunk, CACHE_CHUNKS)
-        self._links = Halves(self._encode_link, CACHE_CHUNKS)
+        self._links = Halves(self._encode_link, CACHE_LINKS)
         self._pairs = Halves(self._follows, CACHE_PAIRS)
         self._cut = self._compile_cut()
         self._bytes = [self._surface(i) for i in range(len(self.pieces))]
@@ -96,23 +124,39 @@ class Transducer:
 
         proto = schema.ModelProto.FromString(model)
         spec = proto.normalizer_spec
-        if spec.precompiled_charsmap:
-            raise ValueError("a character map in the normaliser isn't supported, only identity with space rules")
         if proto.trainer_spec.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         columns = [[p.piece for p in proto.pieces], [p.score for p in proto.pieces], [p.type for p in proto.pieces]]
-        return cls(*columns, proto.trainer_spec.model_type, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+        return cls(*columns, proto.trainer_spec.model_type, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, proto.trainer_spec.treat_whitespace_as_suffix, spec.precompiled_charsmap)
 
     def __reduce__(self):
-        return Transducer, (self.pieces, self.scores, self.kinds, self.algorithm, self.dummy_prefix, self.merge_spaces, self.escape_spaces)
+        return Transducer, (self.pieces, self.scores, self.kinds, self.algorithm, self.dummy_prefix, self.merge_spaces, self.escape_spaces, self.space_suffix, self.charsmap)
 
     # -- the parts
 
+    def _rewrite(self, text: str) -> str:
+        """The character map: at each place the longest key is replaced, other characters stay."""
+        out, at, lengths = [], 0, self._map_length
+        while at < len(text):
+            for n in range(lengths.get(text[at], 0), 0, -1):
+                found = self._map.get(text[at : at + n])
+                if found is not None:
+                    out.append(found)
+                    at += n
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
     def normalise(self, text: str) -> str:
+        if self._map:
+            parts = self._user.split(text) if self._user else [text]
+            text = "".join(p if k % 2 else self._rewrite(p) for k, p in enumerate(parts))
         if self.merge_spaces:
             text = re.sub(" +", " ", text).strip(" ")
         if self.dummy_prefix and text:
-            text = " " + text
+            text = text + " " if self.space_suffix else " " + text
         return text.replace(" ", SPACE_MARK) if self.escape_spaces else text
 
     def _compile_tails(self) -> dict[str, tuple[int, ...]]:
@@ -158,13 +202,54 @@ class Transducer:
         after = self.pieces[second]
         if before and before[-1] + after[0] not in self._joints:
             return True  # nothing merges across
+        if before:
+            left, right = self._spine(first - 1), self._spine(second)
+            if left and right and (known := self._stay_apart(left[1], right[0])) is not None:
+                return known
         return self.merge(before + after) == ([before, after] if before else [after])
 
+    def _spine(self, piece: int) -> tuple[list[str], list[str]] | None:
+        """The pieces at the left and at the right end of a piece while it is merged from its characters, growing; None
+        if it isn't made by merges of ever worse scores that no other piece has."""
+        if piece not in self._spines:
+            text = self.pieces[piece]
+            parts, last, ends, steady = list(text), float("inf"), ([text[0]], [text[-1]]), True
+            while len(parts) > 1 and steady:
+                options = [(-self.scores[i], k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None]
+                if not options:
+                    break
+                cost, k = min(options)
+                steady, last = -cost < last and -cost not in self._tied, -cost
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                for side, part in zip(ends, (parts[0], parts[-1]), strict=True):
+                    if side[-1] != part:
+                        side.append(part)
+            self._spines[piece] = ends if steady and len(parts) == 1 else None
+        return self._spines[piece]
+
+    def _stay_apart(self, left: list[str], right: list[str]) -> bool | None:
+        """Whether no two end pieces that stand side by side at some time merge before either is merged with its own
+        side: the best score goes first, the left one of equals. None if scores of several pieces tie."""
+        score = lambda text: self.scores[i] if (i := self.ids.get(text)) is not None else -float("inf")
+        i = j = 0
+        while True:
+            next_left = score(left[i + 1]) if i + 1 < len(left) else -float("inf")
+            next_right = score(right[j + 1]) if j + 1 < len(right) else -float("inf")
+            across = score(left[i] + right[j])
+            if across > next_left and across >= next_right and across > -float("inf"):
+                return None if across in self._tied else False
+            if i + 1 == len(left) and j + 1 == len(right):
+                return True
+            if next_left >= next_right and i + 1 < len(left) or j + 1 == len(right):
+                i += 1
+            else:
+                j += 1
+
     def _bpe_path(self, chunk: str) -> list[int]:
         get, pairs, tails, width = self.ids.get, self._pairs, self._tails, len(self.pieces)
         last, start = [-1], [0]
         for end in range(1, len(chunk) + 1):
-            for length in tails.get(chunk[max(0, end - 3) : end], (2, 1)):
+            for length in tails.get(chunk[end - 3 : end] if end > 2 else "", (2, 1)):
                 begin = end - length
                 if begin < 0:
                     continue
@@ -184,7 +269,7 @@ class Transducer:
             best = (total[end - 1] - self.worst, -1, end - 1)
             for begin in range(max(0, end - self.longest), end):
                 piece = self.ids.get(chunk[begin:end])
-                if piece is not None and (weight := total[begin] - self.scores[piece]) < best[0]:
+                if piece is not None and (weight := total[begin] + self._weights[piece]) < best[0]:
                     best = (weight, piece, begin)
             for values, value in zip((total, last, start), best, strict=True):
                 values.append(value)
@@ -202,7 +287,7 @@ class Transducer:
         joints = self._joints
         cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joints]
         if not cuts:
-            return self._links[chunk]
+            return self._encode_link(chunk)
         return b"".join(self._links[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True))
 
     def _encode_link(self, chunk: str) -> bytes:
@@ -214,6 +299,17 @@ class Transducer:
     def encode_packed(self, text: str) -> bytes:
         """The ids as packed 32-bit integers."""
         normal = self.normalise(text)
+        if self._user and self.algorithm == BPE:
+            packed = b"".join(self._user_ids[part] if k % 2 else self._encode_part(part) for k, part in enumerate(self._user.split(normal)))
+        else:
+            packed = self._encode_part(normal)
+        if len(self.byte_ids) == 256:
+            return packed
+        ids = np.frombuffer(packed, np.int32)
+        unknown = ids == self.unknown
+        return ids[~(unknown & np.concatenate(([False], unknown[:-1])))].tobytes()  # a run of unknowns is one
+
+    def _encode_part(self, normal: str) -> bytes:
         if self._cut is None:
             return self._encode_chunk(normal)
         return b"".join(map(self._chunks.__getitem__, self._cut.findall(normal)))
@@ -232,12 +328,35 @@ class Transducer:
         return piece.replace(SPACE_MARK, " ").encode("utf-8", "surrogatepass")
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
-        raw = b"".join(map(self._bytes.__getitem__, ids))
+        raw = b"".join(map(self._bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         if self.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
 
+def read_charsmap(blob: bytes) -> dict[str, str]:
+    """Keys and replacements of a compiled character map: the size of a double-array trie over UTF-8 bytes, the trie, and
+    the replacements, each ended by a zero byte. A unit of the trie holds a label, a flag for an end and an offset."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, replacements, labels = np.frombuffer(blob[4 : 4 + size], "<u4"), blob[4 + size :], np.arange(256)
+    below = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    found, todo = {}, [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        unit = int(units[at])
+        base = at ^ below(unit)
+        if unit & 256:  # has an end: the value stands under label 0
+            start = int(units[base]) & 0x7FFFFFFF
+            found[key] = replacements[start : replacements.index(b"\0", start)]
+        places = base ^ labels
+        inside = places < len(units)
+        is_child = (units[np.where(inside, places, 0)] & 0x800000FF == labels) & inside
+        todo += [(int(places[n]), key + bytes([n])) for n in np.flatnonzero(is_child).tolist() if n]
+    return {k.decode(): v.decode() for k, v in found.items()}
+
+
 def load_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
