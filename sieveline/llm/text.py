@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space as the contracts know it: the space and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -32,6 +36,14 @@ def keep_columns(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select(*[frame[name].alias(name) for name in names])
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as a column of the frame (in any case) is called so."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for clusters that don't have it installed."""
     context = spark.sparkContext
@@ -49,3 +61,20 @@ def ship_package(spark: SparkSession) -> None:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch: a text has no length limit, so the default of 10,000 rows is too many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def arrow_rows(frame: DataFrame, column: str, describe: Callable[..., tuple], schema: str, *more: str) -> DataFrame:
+    """The frame's columns but for `column` and `more`, untouched in their Arrow form (ids beside nulls stay integers),
+    and those of `schema`, which `describe` gives for each row's value of `column` and `more`."""
+    kept = [c for c in frame.columns if c not in (column, *more)]
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [describe(*values) for values in zip(*(batch.column(c).to_pylist() for c in (column, *more)), strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(made)
+            arrays = [pa.array(values, field.type) for values, field in zip(columns, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + arrays, [*kept, *made.names])
+
+    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in kept)
+    return frame.mapInArrow(run, f"{kept_schema}, {schema}" if kept else schema)

@@ -6,13 +6,14 @@ the rate of the next shorter one, and that of the shortest towards the base rate
 less a margin, so that clean text scores below zero on average. All maximal scoring segments of a text are found in
 one linear scan. (3) The best segment of n clean tokens follows an extreme-value law with the rate and constant
 fitted on clean rows; a segment is a passage if so good a one is expected less than once in `1 / expected` such
-texts. A logistic curve over the extreme-value statistic turns it into a score; it is fitted on a bounded sample of
-labelled rows that the log-odds weren't counted on.
+texts. A logistic curve over the extreme-value statistic turns it into a score; it is fitted on labelled rows that the
+log-odds weren't counted on. All of these are fitted on labelled rows chosen by a hash of the id, TRAIN_ROWS in
+expectation (all, if fewer): their ids are broadcast, so no text is shuffled.
 
 Defined results: null and blank texts have no tokens, no passages and the score of the least toxic statistic; repeated
 rows are scored alike; labels without a text, and null labels, are left out of training; without any labelled row all
-scores are 0; an empty table gives an empty result; columns besides the id and the text aren't read. Texts are
-scored whole.
+scores are 0; an empty table gives an empty result; columns besides the id and the text aren't read. A row with a null
+id is scored, never held out and never learnt from. Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.text import keep_columns, ship_package, small_batches
+from sieveline.llm.text import arrow_rows, keep_columns, ship_package, small_batches
+from sieveline.plans.lineage import cut
 
 FOLDS = 5
 #: The fold that is never learnt from, and the one that only the calibration uses.
@@ -37,8 +39,8 @@ BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 PRIOR = 8.0
 MARGIN = 0.7
-#: Rows of the calibration sample at most, the first by a hash of the id.
-CALIBRATION_ROWS = 20_000
+#: Labelled ids that the model is fitted on, in expectation; at most 16 bytes each are broadcast.
+TRAIN_ROWS = 100_000
 EXPECTED = 0.05
 #: Beyond these values the extreme-value statistic tells no more; else a few wrong labels would flatten the curve.
 STATISTIC_RANGE = (-5.0, 12.0)
@@ -165,7 +167,7 @@ def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def best_segments(model: Model, rows: DataFrame) -> pd.DataFrame:
-    """toxic, n, best of a bounded sample."""
+    """toxic, n, best of some rows: three numbers each come to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,10 +200,11 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     small_batches(spark)
     marked = keep_columns(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id")) != HELD_OUT))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = keep_columns(documents, "doc_id", "text").where(F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT)).join(marked, "doc_id")
+    share = min(1.0, TRAIN_ROWS / max(marked.count(), 1))
+    chosen = cut(marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))))
+    rows = keep_columns(documents, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     model = Model(*count_features(rows.where(fold_of(F.col("doc_id")) != CALIBRATION).select("text", "toxic")))
-    sample = rows.where(fold_of(F.col("doc_id")) == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    return calibrate(model, best_segments(model, sample.select("text", "toxic")))
+    return calibrate(model, best_segments(model, rows.where(fold_of(F.col("doc_id")) == CALIBRATION).select("text", "toxic")))
 
 
 def calibrate(model: Model, sample: pd.DataFrame) -> Model:
@@ -229,16 +232,14 @@ def passages_of(documents: DataFrame, model: Model) -> DataFrame:
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            judged = [shared.value.judge(t) for t in batch["text"]]
-            spans = [[{"start": a, "end": b, "score": s} for a, b, s in found] for _, found in judged]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _ in judged], "passages": spans})
+    def judge(text: str | None) -> tuple:
+        score, found = shared.value.judge(text)
+        return score, [{"start": a, "end": b, "score": s} for a, b, s in found]
 
-    return keep_columns(documents, "doc_id", "text").mapInPandas(run, "doc_id bigint, score double, passages array<struct<start:bigint,end:bigint,score:double>>")
+    return arrow_rows(keep_columns(documents, "doc_id", "text"), "text", judge, "score double, passages array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Digest columns: doc_id, held_out, score, predicted, n_passages."""
     found = passages_of(documents, train(documents, labels))
-    return found.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
