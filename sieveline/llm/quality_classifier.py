@@ -6,9 +6,11 @@ bad texts, hence the probability that a text with a pattern is good. A linear sc
 tokens, shapes after the same token, sizes) is then trained on a bounded sample with those probabilities as labels,
 and scores every text.
 
-Defined results: a null or blank text gets no votes and no features, so its score is the scorer's offset; repeated
-rows are scored alike; an empty table gives an empty result; without any bad vote everything is kept; columns besides
-the id and the text aren't read. Texts are read whole.
+Defined results: a null or blank text gets no votes and no features, so its score is the scorer's offset; no labeller
+votes on texts of fewer than 5 words, those of packed size and stop words not below 25 (ABSENT: shares of so few words
+say nothing; the scorer still scores them); repeated rows are scored alike; empty tables and partitions give no rows;
+without any bad vote everything is kept; columns besides the id and the text aren't read by `classify`, and further
+columns, whatever their names, pass through `keep_good` untouched. Words are runs without white space; texts and words are read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache, lru_cache
 from operator import eq
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.quality_rules import STOP_FORMS
-from sieveline.llm.text import keep_columns, ship_package, small_batches
+from sieveline.llm.text import free_name, keep_columns, ship_package, small_batches
 
 #: NONE: the labeller found nothing to object to; ABSENT: the text is too short for it to be asked.
 GOOD, BAD, NONE, ABSENT = 1, 0, -1, -2
@@ -42,14 +44,36 @@ KEEP_SCORE = 0.5
 SHORT = 20
 
 STOPS = frozenset(STOP_FORMS)
-SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>^~=_\\{}]")
 PLAIN = re.compile(r"[\"'(\[«“„¿¡]*[^\W\d_]+(?:[-'’][^\W\d_]+)*[\"')\]»”.,;:!?…]*")
 
 
-@lru_cache(maxsize=200_000)
-def is_plain(word: str) -> bool:
-    return PLAIN.fullmatch(word) is not None
+@cache
+def letter_kinds() -> np.ndarray:
+    """For each code point: a for letters, A for capitals, 0 for digits, as numbers; 0 for all others."""
+    out = np.zeros(0x110000, np.uint32)
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isalnum():
+            out[code] = ord("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c)
+    return out
+
+
+def shapes(text: str) -> list[str]:
+    """The words' shapes: letters as a or A, digits as 0, runs of these cut to two, other characters as they are."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = letter_kinds()[codes]
+    out = np.where(kinds, kinds, codes)
+    if len(out) > 2:
+        same = (out[1:] == out[:-1]) & (kinds[1:] > 0)
+        out = out[~np.concatenate(([False, False], same[1:] & same[:-1]))]
+    return out.tobytes().decode("utf-32-le", "surrogatepass").split()
+
+
+@lru_cache(maxsize=100_000)
+def traits(shape: str) -> tuple[bool, bool, bool]:
+    """Whether words of this shape are plain, all capitals, at a sentence's end."""
+    return PLAIN.fullmatch(shape) is not None, "A" in shape and "a" not in shape and len(shape) > 1, shape[-1] in ".!?"
 
 
 def vote(value: float, bad: float, good: float | None) -> int:
@@ -83,15 +107,14 @@ def packed_size(text: str) -> float:
 
 
 def votes(text: str | None) -> tuple[int, ...]:
-    words = SPLIT.findall(text or "")
+    words = (text or "").split()
     n = len(words)
     if n < 5:
         return (ABSENT,) * len(LABELLERS)
-    upper = sum(w.isupper() and len(w) > 1 for w in words) / n
-    ends = sum(w[-1] in ".!?" for w in words) / n
+    plain, upper, ends = np.array([(k * p, k * u, k * e) for s, k in Counter(shapes(text)).items() for p, u, e in [traits(s)]]).sum(axis=0) / n
     return (
         vote(len(SYMBOL.findall(text)) / n, 0.25, None),
-        vote(1 - sum(map(is_plain, words)) / n, 0.4, None),
+        vote(1 - plain, 0.4, None),
         vote(sum(map(eq, words, words[1:])) / n, 0.2, None),
         vote(variety(words), 0.45, 0.9),
         vote(repeated_pairs(words), 0.5, 0.25),
@@ -137,17 +160,6 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Vo
     return model
 
 
-@lru_cache(maxsize=200_000)
-def shape(word: str) -> str:
-    """Letters as a or A, digits as 0, runs as one, other characters as they are."""
-    out = []
-    for c in word[:40]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
-
-
 @lru_cache(maxsize=200_000)
 def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
@@ -155,12 +167,12 @@ def bucket(feature: str) -> int:
 
 def features(text: str | None) -> dict[int, float]:
     """Shares of hashed token shapes, of tokens that repeat the one before, of frequent words, and the variety."""
-    words = SPLIT.findall(text or "")
+    words = (text or "").split()
     n = len(words)
     if not n:
         return {}
     out: dict[int, float] = {}
-    for s, k in Counter(map(shape, words)).items():
+    for s, k in Counter(shapes(text)).items():
         out[bucket(f"shape {s}")] = out.get(bucket(f"shape {s}"), 0.0) + (k / (n + SHORT)) ** 0.5
     repeats = sum(map(eq, words, words[1:])) / n
     stops = (sum(map(STOPS.__contains__, words)) + 0.2 * SHORT) / (n + SHORT)
@@ -197,7 +209,8 @@ def train(documents: DataFrame) -> tuple[VoteModel, np.ndarray]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Counter(votes(t) for batch in batches for t in batch["text"])
-        yield pd.DataFrame({"pattern": [list(p) for p in seen], "n": list(seen.values())})
+        if seen:  # a partition may be empty
+            yield pd.DataFrame({"pattern": [list(p) for p in seen], "n": list(seen.values())})
 
     tallies = rows.select("text").mapInPandas(count, "pattern array<int>, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     if not len(tallies):
@@ -208,14 +221,14 @@ def train(documents: DataFrame) -> tuple[VoteModel, np.ndarray]:
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "votes": [list(votes(t)) for t in batch["text"]], "at": [list(f) for f in found], "value": [list(f.values()) for f in found]})
+            yield pd.DataFrame({"votes": [list(votes(t)) for t in batch["text"]], "at": [list(f) for f in found], "value": [list(f.values()) for f in found]})
 
     place = F.xxhash64("doc_id", "text")
     share = min(1.0, CONSIDERED * TRAIN_ROWS / max(float(tallies["n"].sum()), 1.0))
 
     def described(considered: DataFrame) -> pd.DataFrame:
         chosen = considered.orderBy(place, "doc_id").limit(TRAIN_ROWS)
-        return chosen.mapInPandas(describe, "doc_id bigint, votes array<int>, at array<int>, value array<float>").toPandas()
+        return chosen.select("text").mapInPandas(describe, "votes array<int>, at array<int>, value array<float>").toPandas()
 
     sample = described(rows.where(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))))
     if not len(sample):  # few different rows, repeated so often that none has a low hash
@@ -227,8 +240,8 @@ def train(documents: DataFrame) -> tuple[VoteModel, np.ndarray]:
     return model, weights
 
 
-def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of the documents and quality, the scorer's probability that the text is good."""
+def score_quality(documents: DataFrame, weights: np.ndarray, into: str = "quality_score") -> DataFrame:
+    """All columns of the documents and `into`, the scorer's probability that the text is good."""
     ship_package(documents.sparkSession)
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(weights)
@@ -243,7 +256,14 @@ def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
                 z.append(float(w[list(f)] @ np.array(list(f.values())) + w[-1]) if f else float(w[-1]))
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    return documents.withColumn("quality_score", score("text"))
+    return documents.select(*[documents[c] for c in documents.columns if c != into], score(documents["text"]).alias(into))
+
+
+def keep_good(documents: DataFrame) -> DataFrame:
+    """The documents that the classifier keeps, all columns untouched."""
+    _, weights = train(documents)
+    free = free_name(documents, "quality_score")
+    return score_quality(documents, weights, free).where(F.col(free) >= KEEP_SCORE).drop(free)
 
 
 def classify(documents: DataFrame) -> DataFrame:
