@@ -15,7 +15,7 @@ threshold lies five standard deviations or more below the linking one.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and is its own component; repeated
 rows belong to one class and all keep the component (kept is by id, so repeated rows of the smallest id all stay);
-null ids make no class of their own and get the component of their class's smallest id; an empty table gives an empty
+null ids make no class of their own and get the component of their class's smallest id (null if it has none; kept only then); an empty table gives an empty
 result; columns besides the id and the text aren't read. Texts are read whole.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.text import keep_columns, ship_package, small_batches
+from sieveline.llm.text import arrow_rows, keep_columns, ship_package, small_batches
 from sieveline.operators.graph import connected_components
 from sieveline.plans.lineage import cut
 
@@ -122,22 +122,15 @@ def possible(one: int, others: np.ndarray, sizes: np.ndarray, samples: np.ndarra
 def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), bands, sketch, parity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                hashes = hashes_of(shingles(text, width))
-                if not len(hashes):
-                    rows.append((0, None, None, None, None))
-                    continue
-                samples = samples_of(hashes)
-                key = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                rows.append((len(hashes), key, bands_of(samples), odd_sketch(samples).tobytes(), parity(hashes).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sketch", "parity"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return documents.mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary, parity binary")
+    def describe(text: str | None) -> tuple:
+        hashes = hashes_of(shingles(text, width))
+        if not len(hashes):
+            return 0, None, None, None, None
+        samples = samples_of(hashes)
+        key = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+        return len(hashes), key, bands_of(samples), odd_sketch(samples).tobytes(), parity(hashes).tobytes()
+
+    return arrow_rows(documents, "text", describe, "n_shingles bigint, set_key binary, bands array<bigint>, sketch binary, parity binary")
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -232,4 +225,4 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
 def near_duplicate_rows(documents: DataFrame) -> DataFrame:
     """Digest columns over 2-word shingles: doc_id, n_shingles, component_id, kept."""
     found = near_duplicates(documents, width=2)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
