@@ -13,16 +13,14 @@ id and the text aren't read. Texts are scanned whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from sieveline.llm.text import keep_columns, ship_package, small_batches
+from sieveline.llm.text import arrow_rows, keep_columns, ship_package, small_batches
 
 # The phrases and labels of the base scan.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -265,7 +263,7 @@ def scan(text: str | None) -> tuple:
     return len(starts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(all_labels)), score, spans
 
 
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<label:string,start:bigint,end:bigint,confidence:double>>"
+SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<label:string,start:bigint,end:bigint,confidence:double>>"
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
@@ -273,16 +271,11 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     ship_package(documents.sparkSession)
     small_batches(documents.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-        for batch in batches:
-            rows = [scan(t) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=names, index=batch.index).astype({"first_word": "Int64", "last_word": "Int64"})
-            out["detections"] = [[{"label": a, "start": b, "end": c, "confidence": d} for a, b, c, d in r[-1]] for r in rows]
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
+    def describe(text: str | None) -> tuple:
+        *counts, spans = scan(text)
+        return *counts, [{"label": a, "start": b, "end": c, "confidence": d} for a, b, c, d in spans]
 
-    return keep_columns(documents, "doc_id", "text").mapInPandas(run, SCHEMA)
+    return arrow_rows(keep_columns(documents, "doc_id", "text"), "text", describe, SCHEMA)
 
 
 def license_verdicts(documents: DataFrame) -> DataFrame:
