@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.text import keep_columns, ship_package, small_batches
+from sieveline.llm.text import arrow_rows, keep_columns, ship_package, small_batches
 from sieveline.plans.lineage import cut
 
 #: Pages that a host needs before importance is judged, and the importance below which a branch goes.
@@ -322,9 +322,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0]
     joined = hosted.join(F.broadcast(low) if size <= BROADCAST_NODES else low, "host", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(html, frozenset(nodes) if nodes is not None else frozenset()) for html, nodes in zip(batch["html"], batch["low"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def describe(html: str | None, nodes: list[int] | None) -> tuple:
+        text = main_text(html, frozenset(nodes or ()))
+        return text, len(text)
 
-    return joined.select("page_id", "url", "html", "low").mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    return arrow_rows(joined.select("page_id", "url", "html", "low"), "html", describe, "text string, n_chars bigint", "low")

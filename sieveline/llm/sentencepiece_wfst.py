@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.text import keep_columns, ship_package, small_batches
+from sieveline.llm.text import free_name, keep_columns, ship_package, small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -384,7 +384,8 @@ def compiled(model: bytes) -> Transducer:
 
 
 def encode_texts(documents: DataFrame, model_path: str = MODEL_PATH, text: str = "text") -> DataFrame:
-    """All columns of the documents, token_ids array<int> and n_tokens bigint. The model's file is read by the driver."""
+    """All columns of the documents, token_ids array<int> and n_tokens bigint, with underscores before these names where
+    the documents have such columns. The model's file is read by the driver."""
     spark = documents.sparkSession
     ship_package(spark)
     small_batches(spark)
@@ -396,7 +397,8 @@ def encode_texts(documents: DataFrame, model_path: str = MODEL_PATH, text: str =
         for batch in batches:
             yield arrow_lists([None if t is None else transducer.encode_packed(t) for t in batch.to_pylist()])
 
-    return documents.withColumn("token_ids", encode(text)).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+    ids, count = free_name(documents, "token_ids"), free_name(documents, "n_tokens")
+    return documents.withColumn(ids, encode(text)).withColumn(count, F.size(ids).cast("bigint"))
 
 
 def decode_ids(frame: DataFrame, model_path: str = MODEL_PATH, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
