@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.text import arrow_rows, keep_columns, ship_package, small_batches
+from sieveline.llm.text import arrow_rows, free_name, keep_columns, ship_package, small_batches
 from sieveline.operators.graph import connected_components
-from sieveline.plans.lineage import cut
+from sieveline.plans.lineage import cut, stored
 
 BANDS, ROWS = 30, 5
 SAMPLES = BANDS * ROWS
@@ -50,6 +50,8 @@ PARITY_FROM = 0.77
 LEADERS = 3
 #: Classes of a bucket compared in one task.
 BLOCK = 512
+#: Ids that may be broadcast; beyond that a join is shuffled.
+BROADCAST_IDS = 400_000
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _RANDOM = np.random.default_rng(20240607)
@@ -222,6 +224,15 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
     return described.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_of_groups(documents: DataFrame, width: int = 5, percent: int = THRESHOLD) -> DataFrame:
+    """The documents, all columns untouched, without those whose component has a smaller id. Null ids stay, as nothing
+    tells their rows apart; rows of one id share its fate."""
+    found = near_duplicates(documents, width, percent)
+    name = free_name(documents, "gone")
+    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct())
+    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, documents["doc_id"] == gone[name], "left_anti")
+
+
 def near_duplicate_rows(documents: DataFrame) -> DataFrame:
     """Digest columns over 2-word shingles: doc_id, n_shingles, component_id, kept."""
     found = near_duplicates(documents, width=2)

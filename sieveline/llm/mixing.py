@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.text import SPACE_RE, keep_columns, ship_package, text_of
-from sieveline.plans.lineage import cut
+from sieveline.llm.text import SPACE_RE, free_name, keep_columns, ship_package, text_of
+from sieveline.plans.lineage import cut, stored
 
 # Fixed values of the production mix.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -31,6 +31,8 @@ MAX_COPIES = 2
 
 #: Parts in which documents of one source and size are ranked, so that no task gets all of a hot size.
 RANK_PARTS = 256
+#: Ids that may be broadcast; beyond that a join is shuffled.
+BROADCAST_IDS = 400_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -139,6 +141,16 @@ def plan_mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     return out.join(targets, same(out, targets), "left").select("doc_id", "size", "source_size", "target", F.least("copies", F.lit(most)).alias("copies"))
 
 
+def mix(documents: DataFrame) -> DataFrame:
+    """Each document as often as the mix takes it, all columns untouched. Rows of one id are taken equally often, the
+    least of their copies."""
+    plan = plan_mix(documents)
+    of, times = free_name(documents, "taken_id"), free_name(documents, "taken_times")
+    taken = stored(plan.where("copies > 0").groupBy("doc_id").agg(F.min("copies").cast("int").alias(times)).withColumnRenamed("doc_id", of))
+    found = documents.join(F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken, documents["doc_id"].eqNullSafe(taken[of]))
+    return found.select(*[documents[c] for c in documents.columns], F.explode(F.array_repeat(F.lit(0), taken[times])).alias(times)).drop(times)
+
+
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """Digest columns: doc_id, size, source_size, target, taken, copies."""
     plan = plan_mix(documents)
