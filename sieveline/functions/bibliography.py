@@ -11,8 +11,10 @@ def text_of_index(index: Column) -> Column:
     place the first in order stays; null or broken JSON gives null."""
     at = lambda e: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: p >= 0), lambda p: F.struct(p.alias("place"), e["key"].alias("word")))
     placed = F.array_sort(F.flatten(F.transform(F.map_entries(F.from_json(index, "map<string,array<int>>")), at)))
-    first = F.filter(placed, lambda x, i: (i == 0) | (F.get(placed, i - 1)["place"] != x["place"]))
-    return F.array_join(F.transform(first, lambda x: x["word"]), " ")
+    # A lambda variable holds the sorted places, so that they aren't made again for each element.
+    first = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["place"] != x["place"]))
+    words = F.transform(F.array(placed), lambda all_: F.array_join(F.transform(first(all_), lambda x: x["word"]), " "))
+    return F.get(words, F.lit(0))
 
 
 def last_part(url: Column) -> Column:

@@ -28,6 +28,9 @@ SCALES = {
 }
 
 
+SIGNS = ("<", ">", "=", "≤", "≥")
+
+
 def number(c: Column) -> Column:
     value = F.translate(F.trim(c), "−,", "-").try_cast("double")
     return F.when(F.abs(value) < float("inf"), value)
@@ -39,8 +42,10 @@ def scale(c: Column) -> Column:
 
 def p_value(c: Column) -> tuple[Column, Column]:
     """Value and operator; null unless the value lies within 0 and 1."""
-    shape = r"^\s*(<=|>=|<|>|=|≤|≥)?\s*([0-9.eE+\-]+)\s*$"
-    sign, value = F.regexp_extract(c, shape, 1), F.regexp_extract(c, shape, 2).try_cast("double")
+    text = F.translate(F.replace(F.replace(F.trim(c), F.lit("<="), F.lit("≤")), F.lit(">="), F.lit("≥")), " ", "")
+    signed = F.left(text, F.lit(1)).isin(*SIGNS)
+    sign = F.when(signed, F.left(text, F.lit(1))).otherwise("")
+    value = F.when(signed, F.substr(text, F.lit(2))).otherwise(text).try_cast("double")
     fine = (value >= 0) & (value <= 1)
     return F.when(fine, value), F.when(fine, F.when(sign == "", "=").when(sign == "≤", "<=").when(sign == "≥", ">=").otherwise(sign))
 

@@ -28,28 +28,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return labels.withColumnRenamed("label", "component")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30) -> DataFrame:
     """nodes: id; edges: src, dst. Returns id, rank after exactly `iterations` steps.
 
     Repeated edges and loops are collapsed, edges to unknown nodes dropped, the rank of nodes without links is spread
-    evenly. Each step is one join and one partial aggregation; the sum over such nodes is one row.
+    evenly. Each step is one join and one partial aggregation over links that are made once: beside the edges, each node
+    gives 0 to itself, so that all have a row, and a node without edges gives all to the null node, whose row is the
+    rank to spread: one number a step comes to the driver. Steps are checkpointed, so plans don't grow.
     """
     ids = cut(nodes.select("id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    known = edges.where("src <> dst").select("src", "dst").distinct().join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    known = cut(edges.where("src <> dst").select("src", "dst").distinct().join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi"))
     degree = known.groupBy("src").agg(F.count("*").alias("out"))
-    links = cut(known.join(degree, "src"))
-    ranks = ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank"))
-    for step in range(1, iterations + 1):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        fresh = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
-        ranks = ranks.join(given, ranks["id"] == given["dst"], "left").join(F.broadcast(loose)).select("id", "out", fresh.alias("rank"))
-        if step % cut_every == 0 or step == iterations:
-            ranks = cut(ranks)
-    return ranks.select("id", "rank")
+    given = known.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("share"))
+    own = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share"))
+    loose = ids.join(degree, ids["id"] == degree["src"], "left_anti").select(F.col("id").alias("src"), F.lit(None).cast(ids.schema["id"].dataType).alias("dst"), F.lit(1.0).alias("share"))
+    links = cut(given.unionByName(own).unionByName(loose).repartition("src"))
+    ranks, spread = ids.select(F.col("id").alias("src"), F.lit(1.0 / n).alias("rank")), 0.0
+    for _ in range(iterations):
+        sums = cut(links.join(ranks, "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum")))
+        lost = sums.where("dst IS NULL").first()
+        spread = (1 - damping) / n + damping * (float(lost["sum"]) if lost else 0.0) / n
+        ranks = sums.where("dst IS NOT NULL").select(F.col("dst").alias("src"), (spread + damping * F.col("sum")).alias("rank"))
+    return ranks.select(F.col("src").alias("id"), "rank")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

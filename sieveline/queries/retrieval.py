@@ -54,7 +54,7 @@ def sentence_stats(spark, d):
 
 def text_keys(spark, d):
     c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.title_key(T.shortened(c, 120)).alias("title_key"), F.length(T.fold(c)).cast("bigint").alias("folded"), T.token_estimate(c).cast("bigint").alias("n_tokens"))
+    return table(spark, d, "documents").select("doc_id", T.title_key(c).alias("title_key"), T.title_key(T.shortened(c, 120)).alias("short_key"), F.length(T.fold(c)).cast("bigint").alias("folded"), T.token_estimate(c).cast("bigint").alias("n_tokens"))
 
 
 def line_budget(spark, d):
@@ -159,7 +159,7 @@ SELECT term, fg::BIGINT AS fg, bg::BIGINT AS bg, round(s, 6) AS score FROM (SELE
     "concept_match": f"""WITH r AS (SELECT doc_id, {TOKENS_SQL} AS ts FROM documents), h AS (SELECT doc_id, list_contains(ts, 'the')::INT + list_contains(ts, 'of')::INT + (len(list_filter(ts, lambda x: starts_with(x, 'licen'))) > 0)::INT AS h FROM r)
 SELECT doc_id, h >= 3 AS all_terms, h >= 2 AS most_terms FROM h""",
     "sentence_stats": r"""SELECT doc_id, len(string_split(regexp_replace(trim(coalesce(text, ''), ' '), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))::BIGINT AS n_sentences FROM documents""",
-    "text_keys": r"""SELECT doc_id, trim(regexp_replace(lower(CASE WHEN length(text) > 120 THEN text[:119] || '…' ELSE coalesce(text, '') END), '[^a-z0-9]+', ' ', 'g')) AS title_key,
+    "text_keys": r"""SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS title_key, trim(regexp_replace(lower(CASE WHEN length(text) > 120 THEN text[:119] || '…' ELSE coalesce(text, '') END), '[^a-z0-9]+', ' ', 'g')) AS short_key,
  length(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))))::BIGINT AS folded, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS n_tokens FROM documents""",
     "line_budget": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 f AS (SELECT doc_id, line, min(pos) AS p FROM l GROUP BY ALL), r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS place, count(*) OVER (PARTITION BY doc_id) > 5 AS truncated FROM f)
