@@ -3,15 +3,14 @@
 A document's set holds its distinct word shingles. Documents with equal sets are one class, stood for by its smallest
 id. (1) Each class gets MinHash samples, cut into bands; classes that share a band are candidates. (2) In each band
 bucket every class is paired with two leaders only, and each class keeps the leaders it shares most bands with, so a
-bucket of n classes gives at most a few n pairs; these pairs are confirmed on the full sets, which links most of each
-group. (3) What a bucket still holds of different components is compared across these components, bucket by bucket in
-salted blocks: an odd sketch folds the samples into a bitmap of parities, and the population count of two bitmaps'
-XOR estimates the similarity precisely where it is high, so that only pairs near or above the threshold are sent on to
-be confirmed on full sets. A pair within one component can't change the result, so no link is lost to the star of (2).
+bucket of n classes gives at most a few n pairs, which link most of each group. (3) What a bucket still holds of
+different components is compared across these components, bucket by bucket in salted blocks. A pair within one
+component can't change the result, so no link is lost to the star of (2).
 
-With 30 bands of 5 samples a pair at similarity 0.8 shares no band with probability 7e-6. For sets up to some hundred
-shingles a second bitmap folds the whole set, which makes the count of differing shingles almost exact. Either sketch's
-threshold lies five standard deviations or more below the linking one.
+Every pair of (2) and (3) is verified by odd sketches first: a sketch folds the samples into a bitmap of parities, and
+the population count of two bitmaps' XOR estimates the similarity precisely where it is high. Only pairs whose estimate
+comes near the threshold are confirmed on full sets. With 30 bands of 5 samples a pair at similarity 0.8 shares no band
+with probability 7e-6; the sketch's threshold lies more than four standard deviations below the linking one.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and is its own component; repeated
 rows belong to one class and all keep the component (kept is by id, so repeated rows of the smallest id all stay);
@@ -42,10 +41,6 @@ SKETCH_BITS = 1024
 #: Similarity in percent from which documents are linked, and the sketch estimate from which a pair is confirmed.
 THRESHOLD = 80
 ESTIMATE_FROM = 0.64
-#: The bitmap of the whole set, the sizes of two sets together up to which it is used, and its threshold.
-PARITY_BITS = 2048
-PARITY_SIZES = 1500
-PARITY_FROM = 0.77
 #: Leaders a class is confirmed against at first.
 LEADERS = 3
 #: Classes of a bucket compared in one task.
@@ -105,34 +100,28 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return 1 - (-SKETCH_BITS / 2 * np.log(1 - share)) / (2 * SAMPLES)
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """An odd sketch of the set itself."""
-    at = mixed(hashes) % np.uint64(PARITY_BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8))
+def estimate(x: str, y: str) -> Column:
+    """`estimates` of two columns of sketches."""
+    odd = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return 1 + SKETCH_BITS / 2 * F.ln(1 - F.least(2 * odd / SKETCH_BITS, F.lit(1 - 1e-9))) / (2 * SAMPLES)
 
 
-def possible(one: int, others: np.ndarray, sizes: np.ndarray, samples: np.ndarray, parities: np.ndarray, slack: float) -> np.ndarray:
-    """Which of the others may be similar enough to one, all given by position."""
-    total = sizes[others] + sizes[one]
-    by_samples = estimates(samples[one], samples[others]) >= ESTIMATE_FROM - slack
-    odd = POPCOUNT[parities[one] ^ parities[others]].sum(axis=1)
-    differ = -PARITY_BITS / 2 * np.log(1 - np.minimum(2 * odd / PARITY_BITS, 1 - 1e-9))
-    by_parity = (total - differ) / (total + differ) >= PARITY_FROM - slack
-    return np.where(total <= PARITY_SIZES, by_parity, by_samples)
+def least_estimate(percent: int) -> float:
+    return ESTIMATE_FROM - (THRESHOLD - percent) / 100
 
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch, parity."""
+    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch."""
 
     def describe(text: str | None) -> tuple:
         hashes = hashes_of(shingles(text, width))
         if not len(hashes):
-            return 0, None, None, None, None
+            return 0, None, None, None
         samples = samples_of(hashes)
         key = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-        return len(hashes), key, bands_of(samples), odd_sketch(samples).tobytes(), parity(hashes).tobytes()
+        return len(hashes), key, bands_of(samples), odd_sketch(samples).view(np.int64)
 
-    return arrow_rows(documents, "text", describe, "n_shingles bigint, set_key binary, bands array<bigint>, sketch binary, parity binary")
+    return arrow_rows(documents, "text", describe, "n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -158,6 +147,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b")
 
 
+def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches deem possible."""
+    left, right = (classes.select(F.col("rep").alias(n), F.col("sketch").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").where(estimate("x", "y") >= least_estimate(percent)).select("a", "b")
+
+
 def leader_pairs(banded: DataFrame) -> DataFrame:
     """banded: key, rep. Pairs (a, b), b one of the LEADERS that a shares most bands with."""
     shuffled = F.xxhash64("rep")
@@ -182,11 +177,10 @@ def across_components(banded: DataFrame, classes: DataFrame, components: DataFra
     rows = placed.join(mixed_keys, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     as_member = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "component", F.lit(False).alias("outer"))
     as_outer = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("outer"))
-    described = as_member.union(as_outer).join(classes.select("rep", "bands", "sketch", "parity", "n_shingles"), "rep")
+    described = as_member.union(as_outer).join(classes.select("rep", "bands", "sketch"), "rep")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        bands, sizes = np.stack(block["bands"].to_numpy()), block["n_shingles"].to_numpy()
-        sketch, whole = (np.frombuffer(b"".join(block[c]), np.uint8).reshape(len(block), -1) for c in ("sketch", "parity"))
+        bands, sketch = np.stack(block["bands"].to_numpy()), np.stack(block["sketch"].to_numpy()).view(np.uint8)
         reps, component, outer = block["rep"].to_numpy(), block["component"].to_numpy(), block["outer"].to_numpy()
         place = int(np.flatnonzero(bands[0] == block["key"].iloc[0])[0])
         members, found = np.flatnonzero(~outer), []
@@ -195,7 +189,7 @@ def across_components(banded: DataFrame, classes: DataFrame, components: DataFra
             if len(others):
                 first_shared = (bands[others] == bands[i]).argmax(axis=1) == place  # each pair in its first bucket only
                 others = others[first_shared]
-                others = others[possible(i, others, sizes, sketch, whole, (THRESHOLD - percent) / 100)]
+                others = others[estimates(sketch[i], sketch[others]) >= least_estimate(percent)]
                 found += [(max(reps[i], reps[j]), min(reps[i], reps[j])) for j in others]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -209,9 +203,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
     documents = keep_columns(documents, "doc_id", "text")
     described = cut(sketches(documents, width))
     alive = described.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity", "n_shingles")]))
+    classes = cut(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]))
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    pairs = cut(leader_pairs(banded))
+    pairs = cut(sketched(leader_pairs(banded), classes, percent))
     reps = cut(sharing(banded))
     sets = cut(sets_of(documents, reps, width))
     links = cut(confirm(pairs, sets, percent))
