@@ -65,13 +65,21 @@ NOISE_WORDS = frozenset(
     "signup login share sharing social comment comments reply replies disqus respond related recommended recommendations widget toolbar "
     "pagination pager skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments comments-area comment-list reply replies respond disqus".split())
+#: Noise whatever it holds.
+HARD_NOISE = RAW | frozenset("head template select svg canvas object datalist embed audio video map nav footer aside dialog menu button".split())
 #: Noise outside an article only: inside, it holds the title.
 PAGE_HEADER = frozenset("header topbar".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dt dd figcaption".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A quoted value ends at a quote that ends the attribute too; any other quote is an ordinary character.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=(?>\s*+(?:\"[^\"]*\"|'[^']*')(?=[\s/>]))?+)*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Parts of a class name, and first parts that say something of a whole page: "with-sidebar" is no sidebar.
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+PAGE_STATES = frozenset("with without has no not is hide show page layout col cols column grid".split())
+#: What markup may call by these tags and still wrap the page's content, if it holds more than this share of its text.
+MOST_TEXT = 0.5
 
 
 @dataclass(eq=False)
@@ -81,6 +89,15 @@ class Node:
     noise: bool = False
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    #: Within an article or main element, itself included.
+    inside: bool = False
+    #: The open paragraph that a block's start ends.
+    open_p: Node | None = None
+    #: Has a headline, article or main element below.
+    holds: bool = False
+    #: Filled in by `measure`: characters of text below, without white space, and a digest of the branch's text.
+    size: int = 0
+    body: int = 0
 
     @property
     def step(self) -> str:
@@ -98,15 +115,61 @@ def declared_noise(tag: str, attributes: dict[str, str], bare: str) -> bool:
 
 
 def names_in(attributes: dict[str, str]) -> set[str]:
-    return {w.lower() for w in NAME_PART.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
+    """The words of an element's classes and id; a name that begins with a page state says nothing of the element."""
+    out: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = [w.lower() for w in NAME_PART.findall(name)]
+        if parts and parts[0] not in PAGE_STATES:
+            out.update(parts)
+    return out
+
+
+def measure(root: Node) -> None:
+    """Sizes and digests of all branches, from the leaves up; raw elements have no children."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(order):
+        parts = []
+        for c in node.children:
+            if isinstance(c, str):
+                words = c.split()
+                node.size += sum(map(len, words))
+                parts += words
+            else:
+                node.holds |= c.holds or c.tag in ("h1", "article", "main")
+                if not c.noise:
+                    node.size += c.size
+                    parts.append(str(c.body))
+        node.body = digest(" ".join(parts)) if parts else 0
+
+
+def restore_wrappers(root: Node) -> None:
+    """What is called noise but holds most of the page's text wraps the content: it is noise no longer. The share is of all
+    text that isn't declared noise within it; only a form, or what has a headline, article or main element, is a wrapper."""
+    total = sum(c.size if isinstance(c, Node) else len("".join(c.split())) for c in root.children)
+    stack, wrappers = [root], []
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, Node):
+                wraps = c.tag == "form" or (c.holds and not COMMENT_WORDS & set(c.classes.lower().split()))
+                if c.noise and wraps and c.tag not in HARD_NOISE and c.size > MOST_TEXT * total:
+                    wrappers.append(c)
+                stack.append(c)
+    for node in wrappers:
+        node.noise = False
 
 
 def parse(html: str) -> Node:
     """The element tree, with ends implied as browsers do for paragraphs, list items and tables."""
     root = here = Node("#root")
-    at, end = 0, len(html)
+    at, end, last = 0, len(html), html.rfind(">")
+    open_tags: dict[str, int] = {}
     while at < end:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at) if at <= last or "<!--" in html[at:] else None
         if m is None:
             here.children.append(html[at:])
             break
@@ -117,6 +180,8 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if closing:
+            if not open_tags.get(tag):
+                continue
             node = here
             while node is not root and node.tag != tag:
                 node = node.parent if node.tag not in SCOPES or tag in ("html", "body", "table", "article", "main") else root
@@ -124,11 +189,8 @@ def parse(html: str) -> Node:
                 here = node.parent
             continue
         if tag in CLOSES_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in SCOPES:
-                node = node.parent
-            if node is not root and node.tag == "p":
-                here = node.parent
+            if here.open_p is not None:
+                here = here.open_p.parent
         if tag in IMPLIED_ENDS:
             ends, stops = IMPLIED_ENDS[tag]
             node, target = here, None
@@ -139,30 +201,38 @@ def parse(html: str) -> Node:
             here = target.parent if target else here
         attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
         bare = ATTRIBUTE.sub(" ", rest).rstrip("/").lower()
-        node = Node(tag, " ".join(sorted(attributes.get("class", "").split())), declared_noise(tag, attributes, bare), here)
+        node = Node(tag, " ".join(sorted(attributes.get("class", "").split())), declared_noise(tag, attributes, bare), here, inside=here.inside or tag in ("article", "main"))
+        node.open_p = node if tag == "p" else None if tag in SCOPES else here.open_p
         names = names_in(attributes) if attributes else set()
         if tag == "header" or names & PAGE_HEADER:
-            node.noise |= not inside_article(here) and tag not in ("html", "body", "article", "main")
+            node.noise |= not here.inside and tag not in ("html", "body", "article", "main")
         here.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = close.end() if close else end
         elif tag not in VOID and not rest.endswith("/"):
+            open_tags[tag] = open_tags.get(tag, 0) + 1  # ever opened: what was never open needs no search
             here = node
+    measure(root)
+    restore_wrappers(root)
+    remeasure(root)
     return root
 
 
-def inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def remeasure(root: Node) -> None:
+    """Sizes after wrappers were restored."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.size = node.body = 0
+        stack += [c for c in node.children if isinstance(c, Node)]
+    measure(root)
 
 
 def content_roots(root: Node) -> list[Node]:
-    """The outermost articles that aren't declared noise, else the mains, else the whole page."""
-    for wanted in ("article", "main"):
+    """The outermost mains that aren't declared noise, else the outermost articles, if they hold at least half of the page's
+    text (a teaser isn't the story); else the whole page."""
+    for wanted in ("main", "article"):
         found: list[Node] = []
         stack = [root]
         while stack:
@@ -173,7 +243,7 @@ def content_roots(root: Node) -> list[Node]:
                 found.append(node)
             else:
                 stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if found:
+        if found and sum(n.size for n in found) >= MOST_TEXT * root.size:
             return found
     return [root]
 
@@ -213,13 +283,13 @@ def blocks_of(roots: list[Node], removed: set[int]) -> list[str]:
 def style_nodes(root: Node) -> dict[int, list[Node]]:
     """Nodes of the page by the hash of their path, which names a node of the host's style tree."""
     out: dict[int, list[Node]] = {}
-    stack = [(c, "") for c in root.children if isinstance(c, Node)]
+    stack = [(c, 0) for c in root.children if isinstance(c, Node)]
     while stack:
         node, above = stack.pop()
         if node.noise:
             continue
-        path = f"{above}/{node.step}"
-        out.setdefault(xxhash.xxh3_64_intdigest(path.encode("utf-8", "surrogatepass")) >> 1, []).append(node)
+        path = digest(f"{above:x}/{node.step}")
+        out.setdefault(path, []).append(node)
         stack += [(c, path) for c in node.children if isinstance(c, Node)]
     return out
 
@@ -229,18 +299,7 @@ def digest(text: str) -> int:
 
 
 def body_of(nodes: list[Node]) -> int:
-    return digest("\n".join(map(raw_text, nodes)))
-
-
-def raw_text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            out.append(item)
-        elif not item.noise:
-            stack += reversed(item.children)
-    return " ".join("".join(out).split())
+    return nodes[0].body if len(nodes) == 1 else digest(" ".join(str(n.body) for n in nodes))
 
 
 def page_styles(html: str) -> list[tuple[int, int, int]]:
@@ -254,7 +313,7 @@ def low_branches(root: Node, roots: list[Node], low: frozenset[int]) -> set[int]
     node and a text that several pages have there."""
     if not low:
         return set()
-    total = sum(len(raw_text(r)) for r in roots)
+    total = sum(r.size for r in roots)
     tops = {id(r) for r in roots}
     above: set[int] = set()
     for r in roots:
@@ -264,8 +323,8 @@ def low_branches(root: Node, roots: list[Node], low: frozenset[int]) -> set[int]
             node = node.parent
     removed = set()
     for key, nodes in style_nodes(root).items():
-        if key ^ body_of(nodes) in low and sum(len(raw_text(n)) for n in nodes) <= MAX_SHARE * total:
-            removed |= {id(n) for n in nodes if not (id(n) in tops | above or (n.tag in TEXT_TAGS and inside_article(n)))}
+        if key ^ body_of(nodes) in low and sum(n.size for n in nodes) <= MAX_SHARE * total:
+            removed |= {id(n) for n in nodes if not (id(n) in tops | above or (n.tag in TEXT_TAGS and n.inside))}
     return removed if removed and blocks_of(roots, removed) else set()
 
 
