@@ -42,11 +42,11 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 #: Chunks and pairs of pieces that a worker remembers at most, in each of two halves of which the older goes when the
-#: newer is full, and the length up to which a chunk is remembered: some 100 MB a half at most.
-CACHE_CHUNKS = 500_000
+#: newer is full, and the length up to which a chunk is remembered: some 60 MB a half at most.
+CACHE_CHUNKS = 200_000
 CACHE_LINKS = 50_000
 CACHE_LENGTH = 32
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 200_000
 
 
 class Halves(dict):
@@ -294,6 +294,11 @@ class Transducer:
         path = self._bpe_path if self.algorithm == BPE else self._unigram_path
         return np.array(path(chunk), np.int32).tobytes()
 
+    def forget(self) -> None:
+        """Drop the older halves of what is remembered: workers are kept after a task and used for other work."""
+        for memory in (self._chunks, self._links, self._pairs):
+            memory.older = {}
+
     # -- encoding and decoding
 
     def encode_packed(self, text: str) -> bytes:
@@ -396,6 +401,7 @@ def encode_texts(documents: DataFrame, model_path: str = MODEL_PATH, text: str =
         transducer = compiled(shared.value)
         for batch in batches:
             yield arrow_lists([None if t is None else transducer.encode_packed(t) for t in batch.to_pylist()])
+        transducer.forget()
 
     ids, count = free_name(documents, "token_ids"), free_name(documents, "n_tokens")
     return documents.withColumn(ids, encode(text)).withColumn(count, F.size(ids).cast("bigint"))
