@@ -4,8 +4,10 @@ Vectors become integers, floor(256 * x) of each component. A bounded number of t
 belongs to its nearest pivot's cell. Each cell is summarised by its size, its radius and the distances of its members
 nearest to the pivot. For a query q, a member x of the cell of pivot p satisfies |q.x - q.p| <= |q| * |x - p|. The
 nearest members of all cells thus bound q's k-th best score from below, and a cell whose radius bounds its scores
-below that isn't searched: q is only sent to the others. Cells are cut into blocks of bounded size, so neither a hot
-cell nor a vector that occurs very often meets in one task; each block returns its k best per query.
+below that isn't searched: q is only sent to the others. Queries are grouped by their own nearest pivots too, into
+groups of bounded size, and a cell's data goes only to the groups of which a query may need it. Cells are cut into blocks
+of bounded size, so neither a hot cell nor a vector that occurs very often meets in one task; each block returns its k
+best per query. Products are exact: of floats where they stay below 2 ** 53, of 64-bit integers beyond.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, and neither do null ids;
 of vectors of different length the shorter counts as ending in zeros; rows with the query's own id are no candidates;
@@ -32,7 +34,9 @@ K = 5
 QUERY_EVERY = 50
 MAX_PIVOTS = 512
 #: Rows of a cell, and queries, that meet in one task at most (up to the evenness of a hash).
-BLOCK, QUERY_BLOCK = 4_096, 4_096
+BLOCK, QUERY_GROUP = 4_096, 1_024
+#: Rows (cell, group) that may be broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
@@ -42,9 +46,9 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("bigint")).alias("v"))
 
 
-def matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    """Rows of float64, exact for integers whose inner products stay below 2 ** 53."""
-    out = np.zeros((len(vectors), width))
+def matrix(vectors: pd.Series, width: int, kind: type = np.float64) -> np.ndarray:
+    """Rows of numbers; float64 is exact for integers whose inner products stay below 2 ** 53."""
+    out = np.zeros((len(vectors), width), kind)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -106,56 +110,76 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tup
     """(score, id) of the k best, ties to the smaller id."""
     if len(scores) > k + 1:
         # Rows of the query's own id are skipped below, so the cut is made without them.
-        others = np.where(ids == own, -np.inf, scores)
-        near = np.flatnonzero(others >= -np.partition(-others, k - 1)[k - 1])
-        scores, ids = scores[near], ids[near]
+        others = scores[ids != own]
+        if len(others) > k:
+            near = np.flatnonzero(scores >= -np.partition(-others, k - 1)[k - 1])
+            scores, ids = scores[near], ids[near]
     keep = ids != own
     scores, ids = scores[keep], ids[keep]
     order = np.lexsort((ids, -scores))[:k]
     return [(int(scores[i]), int(ids[i])) for i in order]
 
 
+def query_groups(asked: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """For each cell with queries the number of its first group and how many groups its queries are dealt to: cells of few
+    queries share a group. A row for each pivot at most comes to the driver."""
+    first, numbers, filled, group = {}, {}, 0, 0
+    for row in asked.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect():
+        if filled and filled + row["n"] > QUERY_GROUP:
+            filled, group = 0, group + 1
+        first[row["cell"]], numbers[row["cell"]] = group, -(-row["n"] // QUERY_GROUP)
+        filled += row["n"]
+        if filled >= QUERY_GROUP:
+            filled, group = 0, group + numbers[row["cell"]]
+    return first, numbers
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """vectors, queries: vec_id, v of integers. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship_package(spark)
     vectors = cut(vectors)
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
     width, schema = max(int(size["width"] or 0), 1), "query_id bigint, rank int, vec_id bigint, score bigint"
     if not size["n"]:
         return spark.createDataFrame([], schema)
+    kind = np.float64 if width * int(size["most"] or 0) ** 2 < 1 << 53 else np.int64
     pivots = choose_pivots(vectors, size["n"], width)
     cells = cut(assign_cells(vectors, pivots, width))
     summary = summaries(cells, k)
     shared = spark.sparkContext.broadcast((pivots, summary))
-    asked = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = cut(assign_cells(queries.groupBy("vec_id").agg(F.min("v").alias("v")), pivots, width))
+    groups, numbers = query_groups(asked)
     blocks = {int(c): -(-int(n) // BLOCK) for c, n in zip(summary["cell"], summary["n"], strict=True)}
-    block_of = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell"))
+    by_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("cell"))
+    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, s = shared.value
         for batch in batches:
             at, to = np.nonzero(cells_to_search(matrix(batch["v"], width), p, s, k))
-            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "v": batch["v"].to_numpy()[at], "cell": s["cell"].to_numpy()[to].astype("int32")})
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "v": batch["v"].to_numpy()[at], "query_group": batch["query_group"].to_numpy()[at], "cell": s["cell"].to_numpy()[to].astype("int32")})
 
-    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
-    sent = asked.mapInPandas(route, "vec_id bigint, v array<bigint>, cell int")
-    sent = sent.withColumn("query_block", part(F.lit(query_blocks), 5)).withColumn("block", F.explode(F.sequence(F.lit(0), block_of - 1)))
-    data = cells.select("vec_id", "v", "cell", part(block_of, 11).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    if not groups:
+        return spark.createDataFrame([], schema)
+    grouped = asked.select("vec_id", "v", (by_cell(groups) + part(by_cell(numbers), 5)).cast("int").alias("query_group"))
+    sent = cut(grouped.mapInPandas(route, "vec_id bigint, v array<bigint>, query_group int, cell int"))
+    needed = cut(sent.select("cell", "query_group").distinct()).toDF("cell", "group_")
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), by_cell(blocks) - 1)))
+    data = cells.select("vec_id", "v", "cell", part(by_cell(blocks), 11).alias("block")).join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "cell").withColumnRenamed("group_", "query_group")
 
     def solve(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(wanted):
-            x, ids = matrix(rows["v"], width), rows["vec_id"].to_numpy()
+            x, ids = matrix(rows["v"], width, kind), rows["vec_id"].to_numpy()
             own = wanted["vec_id"].to_numpy()
             for start in range(0, len(wanted), 256):
-                scores = matrix(wanted["v"].iloc[start : start + 256], width) @ x.T
+                scores = matrix(wanted["v"].iloc[start : start + 256], width, kind) @ x.T
                 for i, row in enumerate(scores):
                     found += [(own[start + i], v, s) for s, v in best_rows(row, ids, own[start + i], k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    key = ["cell", "block", "query_block"]
+    key = ["cell", "block", "query_group"]
     local = data.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
