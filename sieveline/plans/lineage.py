@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; where the session names none, as in tests, a folder of our own."""
+    """The cluster's shared checkpoint folder; where the session names none, a folder of our own in local mode, as in tests,
+    and an error on a cluster, whose executors don't share a local folder."""
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None):
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="sieveline_checkpoint_")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(f"file://{own}")

@@ -73,7 +73,7 @@ def verdict_counts(spark, d):
 
 
 def effect_directions(spark, d):
-    rows = judged(spark, d).select(E.direction(F.col("estimate"), F.col("ci_low"), F.col("ci_high")).alias("direction"))
+    rows = judged(spark, d).where("verdict = 'effect'").select(E.direction(F.col("estimate"), F.col("ci_low"), F.col("ci_high")).alias("direction"))
     return rows.groupBy("direction").agg(F.count("*").alias("n"))
 
 
@@ -165,7 +165,7 @@ ORACLES = {
     "arm_effects": f"WITH {ARMS_SQL} SELECT p_brand, p_type, round(estimate, 6) AS estimate, round(se, 6) AS se, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, verdict FROM judged",
     "verdict_counts": f"""WITH {ARMS_SQL}, names AS (SELECT unnest({list(E.BUCKETS)}) AS bucket)
 SELECT bucket, count(verdict)::BIGINT AS n FROM names LEFT JOIN judged ON split_part(verdict, ':', 1) = bucket GROUP BY bucket""",
-    "effect_directions": f"WITH {ARMS_SQL} SELECT CASE WHEN ci_low > 0 THEN 'positive' WHEN ci_high < 0 THEN 'negative' ELSE 'unclear' END AS direction, count(*)::BIGINT AS n FROM judged GROUP BY ALL",
+    "effect_directions": f"WITH {ARMS_SQL} SELECT CASE WHEN ci_low > 0 THEN 'positive' WHEN ci_high < 0 THEN 'negative' ELSE 'unclear' END AS direction, count(*)::BIGINT AS n FROM judged WHERE verdict = 'effect' GROUP BY ALL",
     "dl_pool": f"""WITH {ARMS_SQL}, w AS (SELECT *, 1 / (se * se) AS w FROM effects WHERE se > 0), s AS (
   SELECT p_type, count(*) AS k, sum(w) AS sw, sum(w * estimate) AS swy, sum(w * estimate * estimate) AS swyy, sum(w * w) AS sww FROM w GROUP BY p_type HAVING count(*) >= 3
 ), t AS (SELECT p_type, k, greatest(0, swyy - swy * swy / sw) AS q, greatest(0, (greatest(0, swyy - swy * swy / sw) - (k - 1)) / (sw - sww / sw)) AS tau2 FROM s),
