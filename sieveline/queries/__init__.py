@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.queries import evidence, lists, maps, models, planning, retrieval, studies
+from sieveline.queries import evidence, lists, maps, models, planning, retrieval, scope, studies
 
-MODULES = (evidence, retrieval, maps, models, studies, lists, planning)
+MODULES = (evidence, retrieval, maps, models, studies, lists, planning, scope)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

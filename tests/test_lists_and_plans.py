@@ -11,6 +11,7 @@ from sieveline.functions.special import NORMAL, beta_cdf
 from sieveline.operators import graph
 from sieveline.operators import lists as L
 from sieveline.operators import planning as P
+from sieveline.operators import scope as S
 
 
 def test_ranks_equal_a_plain_version(spark):
@@ -88,3 +89,18 @@ def test_batches_and_empty_tables(spark):
 @pytest.mark.parametrize("title,found", [("Systematic reviews of care", True), ("A peer review", False), ("Clinical  guidelines for us", True), ("Our guidelines for us", False), ("META-ANALYSIS", True), (None, False)])
 def test_synthesis_titles(spark, title, found):
     assert spark.createDataFrame([(title,)], "t string").select(L.is_synthesis(F.col("t"))).first()[0] is found
+
+
+def test_population_aliases():
+    primary = ["knee", "osteoarthritis"]
+    aliases = [["gonarthrosis"], ["knee", "disease"], [], ["gonarthrosis"], ["arthrosis"]]
+    assert S.reduced_aliases(primary, aliases) == [["gonarthrosis"]]
+    assert S.reduced_aliases(primary, [["knee", "osteoarthritis", "pain"], ["osteoarthritis"], ["disease"]]) == []
+
+
+def test_scope_of_missing_columns(spark):
+    works = spark.createDataFrame([(1, "Renal trial", None), (2, None, None)], "id int, title string, pmid string")
+    assert [r["id"] for r in works.where(S.coarse(works, ["RENAL"], "title", "abstract")).collect()] == [1]
+    assert works.where(S.coarse(works, ["x"], "abstract") | S.is_indexed(works) | S.is_indexed(works.drop("pmid"))).count() == 0
+    rows = works.select(S.specific_terms(F.col("title")).alias("t"), S.population_clause(F.col("title"), ["knee", "renal", "trial"]).alias("c"), S.population_clause(F.col("title"), []).alias("all")).collect()
+    assert [tuple(r) for r in rows] == [(["renal", "trial"], True, True), ([], False, True)]
