@@ -70,6 +70,7 @@ COMMENT_WORDS = frozenset("comment comments comments-area comment-list reply rep
 HARD_NOISE = RAW | frozenset("head template select svg canvas object datalist embed audio video map nav footer aside dialog menu button".split())
 #: Noise outside an article only: inside, it holds the title.
 PAGE_HEADER = frozenset("header topbar".split())
+PROSE_TAGS = frozenset("p h1 h2 pre blockquote".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dt dd figcaption".split())
 
 #: A quoted value ends at a quote that ends the attribute too; any other quote is an ordinary character.
@@ -98,6 +99,8 @@ class Node:
     #: Filled in by `measure`: characters of text below, without white space, and a digest of the branch's text.
     size: int = 0
     body: int = 0
+    #: Of the size, what stands in paragraphs and headlines.
+    prose: int = 0
 
     @property
     def step(self) -> str:
@@ -142,7 +145,10 @@ def measure(root: Node) -> None:
                 node.holds |= c.holds or c.tag in ("h1", "article", "main")
                 if not c.noise:
                     node.size += c.size
+                    node.prose += c.prose
                     parts.append(str(c.body))
+        if node.tag in PROSE_TAGS:
+            node.prose = node.size
         node.body = digest(" ".join(parts)) if parts else 0
 
 
@@ -224,14 +230,14 @@ def remeasure(root: Node) -> None:
     stack = [root]
     while stack:
         node = stack.pop()
-        node.size = node.body = 0
+        node.size = node.body = node.prose = 0
         stack += [c for c in node.children if isinstance(c, Node)]
     measure(root)
 
 
 def content_roots(root: Node) -> list[Node]:
-    """The outermost mains that aren't declared noise, else the outermost articles, if they hold at least half of the page's
-    text (a teaser isn't the story); else the whole page."""
+    """The outermost mains that aren't declared noise, else the outermost articles, if the paragraphs and headlines outside
+    hold no more text than they do (a teaser isn't the story); else the whole page."""
     for wanted in ("main", "article"):
         found: list[Node] = []
         stack = [root]
@@ -243,7 +249,8 @@ def content_roots(root: Node) -> list[Node]:
                 found.append(node)
             else:
                 stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if found and sum(n.size for n in found) >= MOST_TEXT * root.size:
+        outside = root.prose - sum(n.prose for n in found)
+        if found and sum(n.size for n in found) >= outside:
             return found
     return [root]
 
