@@ -1,6 +1,7 @@
 """Fitted models against plain versions of them."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from sieveline.functions.bibliography import text_of_index
 from sieveline.operators import redundancy as D
 from sieveline.operators import regions as R
+from sieveline.operators.graph import connected_components
 
 
 def loss(log_tau2, y, v):
@@ -61,3 +63,16 @@ def F_i():
     from pyspark.sql import functions as F
 
     return F.col("i")
+
+
+@pytest.mark.parametrize("task_links", [0, 10**6])
+def test_components_in_one_task_and_in_rounds(spark, task_links):
+    rng = random.Random(task_links)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(190)] + [(k, k + 1) for k in range(500, 560)] + [(900, 900)]
+    frame = spark.createDataFrame([*links, (None, 3)], "src bigint, dst bigint").repartition(5)
+    part = {n: n for e in links for n in e}
+    for a, b in links:
+        low, high = sorted((part[a], part[b]))
+        part = {n: low if x == high else x for n, x in part.items()}
+    assert {r["node"]: r["component"] for r in connected_components(frame, task_links=task_links).collect()} == part
+    assert connected_components(frame.where("src > 1000"), task_links=task_links).count() == 0
