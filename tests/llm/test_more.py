@@ -146,3 +146,50 @@ def test_sketches_gate_every_pair(spark):
     classes = spark.createDataFrame([(1, low), (2, high), (3, low)], "rep bigint, sketch array<bigint>")
     pairs = spark.createDataFrame([(2, 1), (3, 1)], "a bigint, b bigint")
     assert [tuple(r) for r in minhash.sketched(pairs, classes, 80).collect()] == [(3, 1)]
+
+
+def test_a_passage_in_many_lines_hides_no_alike_pair(spark):
+    """Two alike lines whose only shared keys stand in a passage that more than 32 other lines hold."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = "extraordinarily knowledgeable representatives"
+    lines = [f"{passage} {' '.join(word() for _ in range(3))}" for _ in range(60)]
+    one = "extraordinarily knowledgeable representatives abcdefgh ijklmnop"
+    other = "extraordinarily knowledgeable representatives abXdefgh ijkXmnop"
+    frame = spark.createDataFrame(list(enumerate([*lines, one, other])), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated_lines(frame).collect()}
+    norm = {k: line_dedup.OTHER.sub(" ", t.lower()).strip() for k, t in enumerate([*lines, one, other])}
+    parts = {k: k for k in norm}
+    for a, b in combinations(norm, 2):
+        if line_dedup.alike(norm[a], norm[b]):
+            low, high = sorted((parts[a], parts[b]))
+            parts = {k: low if v == high else v for k, v in parts.items()}
+    assert parts[60] == parts[61] and {k for k, n in found.items() if n} == {k for k, v in parts.items() if k != v}
+
+
+def test_starts_allow_what_the_whole_allows():
+    rng = random.Random(2)
+    for _ in range(400):
+        x = "".join(rng.choice("abcd ") for _ in range(rng.randrange(5, 150)))
+        y = "".join(rng.choice(["", c, c + "a", "b"]) if rng.random() < 0.2 else c for c in x)
+        limit = line_dedup.edits_allowed(x, y)
+        if line_dedup.edit_distance_within(x, y, limit):
+            assert line_dedup.starts_allow(x, y, limit) and line_dedup.starts_allow(y, x, limit)
+    assert not line_dedup.starts_allow("abcdefghij" * 9, "klmnopqrst" * 9, 18)
+
+
+def test_copies_of_copies_are_confirmed_in_few_pairs(spark, monkeypatch):
+    """A long chain of edits is one component, and each class is confirmed against a few others, not against all."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(150):
+        words[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
+        words[rng.randrange(150)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    asked, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *rest: asked.append(pairs.count()) or confirm(pairs, *rest))
+    found = minhash.near_duplicate_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sets = [minhash.shingles(t, 2) for t in texts]
+    assert all(100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets, sets[1:], strict=False))
+    assert {r["component_id"] for r in found} == {0} and sum(asked) < 8 * len(texts)
