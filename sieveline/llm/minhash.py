@@ -4,7 +4,8 @@ A document's set holds its distinct word shingles. Documents with equal sets are
 id. (1) Each class gets MinHash samples, cut into bands; classes that share a band are candidates. (2) In each band
 bucket every class is paired with two leaders only, and each class keeps the leaders it shares most bands with, so a
 bucket of n classes gives at most a few n pairs, which link most of each group. (3) What a bucket still holds of
-different components is compared across these components, bucket by bucket in salted blocks. A pair within one
+different components is compared across these components, bucket by bucket in salted blocks; while these pairs are many,
+as in a large group of copies of copies, the most similar ones of each class are confirmed first. A pair within one
 component can't change the result, so no link is lost to the star of (2).
 
 Every pair of (2) and (3) is verified by odd sketches first: a sketch folds the samples into a bitmap of parities, and
@@ -45,6 +46,8 @@ ESTIMATE_FROM = 0.64
 LEADERS = 3
 #: Classes of a bucket compared in one task.
 BLOCK = 512
+#: Where more than MANY pairs a class are left, each class is confirmed against the FEW that look most similar first.
+MANY, FEW = 2, 3
 #: Ids that may be broadcast; beyond that a join is shuffled.
 BROADCAST_IDS = 400_000
 
@@ -170,18 +173,20 @@ def sharing(banded: DataFrame) -> DataFrame:
 
 
 def across_components(banded: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that the sketches deem possible."""
+    """rep, others, looks: of each class the classes of one bucket and different components that the sketches deem possible,
+    each pair once, the most similar by sketch first."""
     placed = banded.join(components, banded["rep"] == components["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed_keys = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("members")).where("k > 1")
     rows = placed.join(mixed_keys, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    as_member = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "component", F.lit(False).alias("outer"))
-    as_outer = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("outer"))
+    as_member = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "component", F.lit(False).alias("outer"), "main")
+    as_outer = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("outer"), "main")
     described = as_member.union(as_outer).join(classes.select("rep", "bands", "sketch"), "rep")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         bands, sketch = np.stack(block["bands"].to_numpy()), np.stack(block["sketch"].to_numpy()).view(np.uint8)
         reps, component, outer = block["rep"].to_numpy(), block["component"].to_numpy(), block["outer"].to_numpy()
+        main = block["main"].iloc[0]
         place = int(np.flatnonzero(bands[0] == block["key"].iloc[0])[0])
         members, found = np.flatnonzero(~outer), []
         for i in np.flatnonzero(outer):
@@ -189,11 +194,31 @@ def across_components(banded: DataFrame, classes: DataFrame, components: DataFra
             if len(others):
                 first_shared = (bands[others] == bands[i]).argmax(axis=1) == place  # each pair in its first bucket only
                 others = others[first_shared]
-                others = others[estimates(sketch[i], sketch[others]) >= least_estimate(percent)]
-                found += [(max(reps[i], reps[j]), min(reps[i], reps[j])) for j in others]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                others = others[outside(component, main, i, others, reps)]
+                look = estimates(sketch[i], sketch[others])
+                order = np.argsort(-look, kind="stable")
+                order = order[look[order] >= least_estimate(percent)]
+                if len(order):
+                    found.append((reps[i], reps[others[order]], look[order]))
+        return pd.DataFrame(found, columns=["rep", "others", "looks"]).astype({"rep": "int64"})
 
-    return described.groupBy("key", "block").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return described.groupBy("key", "block").applyInPandas(compare, "rep bigint, others array<bigint>, looks array<double>")
+
+
+def outside(component: np.ndarray, main: int, i: int, others: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """Two classes outside of the bucket's main component meet in both's rows: one of them counts."""
+    return (component[others] == main) | (reps[others] < reps[i])
+
+
+def as_pairs(found: DataFrame) -> DataFrame:
+    return found.select("rep", F.explode("others").alias("other")).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+
+
+def most_similar(found: DataFrame) -> DataFrame:
+    """Of each class the FEW pairs that look most similar."""
+    top = found.select("rep", F.explode(F.slice(F.arrays_zip("others", "looks"), 1, FEW)).alias("o"))
+    rank = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("o.looks"), "o.others"))
+    return top.withColumn("rank", rank).where(F.col("rank") <= FEW).select(F.greatest("rep", "o.others").alias("a"), F.least("rep", "o.others").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHOLD) -> DataFrame:
@@ -209,11 +234,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
     reps = cut(sharing(banded))
     sets = cut(sets_of(documents, reps, width))
     links = cut(confirm(pairs, sets, percent))
-    components = connected_components(links, "a", "b")
-    further = confirm(cut(across_components(banded.join(reps, "rep", "left_semi"), classes, components, percent)), sets, percent)
-    further = cut(further)
-    if not further.isEmpty():
-        components = connected_components(links.union(further), "a", "b")
+    most, linking = MANY * reps.count(), True
+    banded = banded.join(reps, "rep", "left_semi")
+    while True:
+        components = connected_components(links, "a", "b")
+        left = cut(across_components(banded, classes, components, percent))
+        some = linking and (left.agg(F.sum(F.size("others"))).first()[0] or 0) > most
+        further = cut(confirm(cut(most_similar(left) if some else as_pairs(left)), sets, percent))
+        linking = not further.isEmpty()
+        links = links.union(further)
+        if not some:
+            break
+    if linking:
+        components = connected_components(links, "a", "b")
     of_class = classes.select("set_key", "rep").join(components, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     return described.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
