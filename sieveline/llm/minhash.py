@@ -3,10 +3,10 @@
 A document's set holds its distinct word shingles. Documents with equal sets are one class, stood for by its smallest
 id. (1) Each class gets MinHash samples, cut into bands; classes that share a band are candidates. (2) In each band
 bucket every class is paired with two leaders only, and each class keeps the leaders it shares most bands with, so a
-bucket of n classes gives at most a few n pairs, which link most of each group. (3) What a bucket still holds of
-different components is compared across these components, bucket by bucket in salted blocks; while these pairs are many,
-as in a large group of copies of copies, the most similar ones of each class are confirmed first. A pair within one
-component can't change the result, so no link is lost to the star of (2).
+bucket of n classes gives at most a few n pairs, which link most of each group. (3) Components between which a bucket still
+holds a pair that sketches deem possible form a family. The sets of a family's classes are sent once, to one task or in
+blocks, and all its pairs of different components are compared there, which are joined as soon as a link is found. A pair
+within one component can't change the result, so no link is lost to the star of (2).
 
 Every pair of (2) and (3) is verified by odd sketches first: a sketch folds the samples into a bitmap of parities, and
 the population count of two bitmaps' XOR estimates the similarity precisely where it is high. Only pairs whose estimate
@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,10 +44,9 @@ THRESHOLD = 80
 ESTIMATE_FROM = 0.64
 #: Leaders a class is confirmed against at first.
 LEADERS = 3
-#: Classes of a bucket compared in one task.
-BLOCK = 512
-#: Where more than MANY pairs a class are left, each class is confirmed against the FEW that look most similar first.
-MANY, FEW = 2, 3
+#: Classes of a bucket or family that meet in one task, and the shingles of their sets; more are dealt to parts, and each two
+#: parts meet in one block.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Ids that may be broadcast; beyond that a join is shuffled.
 BROADCAST_IDS = 400_000
 
@@ -127,27 +126,46 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     return arrow_rows(documents, "text", describe, "n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
 
 
-def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """rep, hashes: the full sets of some documents, made again from their texts."""
+def joined_ids(frame: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the frame whose rep is among the ids; these are broadcast behind their count, so texts aren't shuffled."""
+    return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"rep": batch["doc_id"], "hashes": [hashes_of(shingles(t, width)).view(np.int64) for t in batch["text"]]})
 
-    chosen = documents.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return chosen.mapInPandas(run, "rep bigint, hashes array<bigint>").dropDuplicates(["rep"])
+def sets_of(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """rep, n_shingles, sketch, hashes: the full sets of some documents, made again from their texts; each as bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()  # a task sends copies of one id once
+        for batch in batches:
+            rows = []
+            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes = hashes_of(shingles(text, width))
+                key = rep, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+                if len(hashes) and key not in seen:
+                    seen.add(key)
+                    rows.append((rep, len(hashes), odd_sketch(samples_of(hashes)).tobytes(), hashes.tobytes()))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "n_shingles", "sketch", "hashes"])
 
-def similar(common: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * common >= percent * (a + b - common)
+    chosen = joined_ids(documents.select(F.col("doc_id").alias("rep"), "text"), ids)
+    return chosen.mapInArrow(run, "rep bigint, n_shingles bigint, sketch binary, hashes binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. The member's set joins first: its ids don't repeat much."""
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b")
+
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        found = []
+        for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
+            p, q = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            found.append(100 * common >= percent * (len(p) + len(q) - common))
+        return pa.array(found, pa.bool_())
+
+    return pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b").distinct()
 
 
 def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -166,59 +184,126 @@ def leader_pairs(banded: DataFrame) -> DataFrame:
     return shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
 
 
+def in_shared(banded: DataFrame) -> DataFrame:
+    """key, rep: the rows of the buckets that hold more than one class. All bands are shuffled here, once."""
+    whole = W.partitionBy("key")
+    return banded.withColumns({"low": F.min("rep").over(whole), "high": F.max("rep").over(whole)}).where("low <> high").select("key", "rep").distinct()
+
+
 def sharing(banded: DataFrame) -> DataFrame:
     """rep: the classes that share a band with another class, in a kept pair or not."""
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return banded.join(shared, "key", "left_semi").select("rep").distinct()
-
-
-def across_components(banded: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """rep, others, looks: of each class the classes of one bucket and different components that the sketches deem possible,
-    each pair once, the most similar by sketch first."""
-    placed = banded.join(components, banded["rep"] == components["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed_keys = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("members")).where("k > 1")
-    rows = placed.join(mixed_keys, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    as_member = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "component", F.lit(False).alias("outer"), "main")
-    as_outer = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("outer"), "main")
-    described = as_member.union(as_outer).join(classes.select("rep", "bands", "sketch"), "rep")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        bands, sketch = np.stack(block["bands"].to_numpy()), np.stack(block["sketch"].to_numpy()).view(np.uint8)
-        reps, component, outer = block["rep"].to_numpy(), block["component"].to_numpy(), block["outer"].to_numpy()
-        main = block["main"].iloc[0]
-        place = int(np.flatnonzero(bands[0] == block["key"].iloc[0])[0])
-        members, found = np.flatnonzero(~outer), []
-        for i in np.flatnonzero(outer):
-            others = members[component[members] != component[i]]
-            if len(others):
-                first_shared = (bands[others] == bands[i]).argmax(axis=1) == place  # each pair in its first bucket only
-                others = others[first_shared]
-                others = others[outside(component, main, i, others, reps)]
-                look = estimates(sketch[i], sketch[others])
-                order = np.argsort(-look, kind="stable")
-                order = order[look[order] >= least_estimate(percent)]
-                if len(order):
-                    found.append((reps[i], reps[others[order]], look[order]))
-        return pd.DataFrame(found, columns=["rep", "others", "looks"]).astype({"rep": "int64"})
-
-    return described.groupBy("key", "block").applyInPandas(compare, "rep bigint, others array<bigint>, looks array<double>")
-
-
-def outside(component: np.ndarray, main: int, i: int, others: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """Two classes outside of the bucket's main component meet in both's rows: one of them counts."""
-    return (component[others] == main) | (reps[others] < reps[i])
-
-
-def as_pairs(found: DataFrame) -> DataFrame:
-    return found.select("rep", F.explode("others").alias("other")).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-
-
-def most_similar(found: DataFrame) -> DataFrame:
-    """Of each class the FEW pairs that look most similar."""
-    top = found.select("rep", F.explode(F.slice(F.arrays_zip("others", "looks"), 1, FEW)).alias("o"))
-    rank = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("o.looks"), "o.others"))
-    return top.withColumn("rank", rank).where(F.col("rank") <= FEW).select(F.greatest("rep", "o.others").alias("a"), F.least("rep", "o.others").alias("b")).distinct()
+    return in_shared(banded).select("rep").distinct()
+
+
+def blocks(part: Column, parts: Column) -> Column:
+    """The blocks that a row of a part goes to, so that each two parts meet in one: its meeting with each other part."""
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda r: (parts == 1) | (r != part))
+    return F.transform(others, lambda r: F.least(r, part) * parts + F.greatest(r, part))
+
+
+def in_blocks(rows: DataFrame, link: Callable[[dict[str, list]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """a, b: what `link` finds in the rows of each (key, part, parts), dealt to blocks: a column's values of a block by its name."""
+    names = [c for c in rows.columns if c not in ("key", "part", "parts")]
+    dealt = rows.select("key", F.explode(blocks(F.col("part"), F.col("parts"))).alias("block"), *names).repartition("key", "block").sortWithinPartitions("key", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            keys = np.stack((batch.column("key").to_numpy(), batch.column("block").to_numpy()), axis=1)
+            starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            found = []
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if start == end:
+                    continue
+                if held and at != tuple(keys[start]):
+                    found.append(linked(held))
+                    held = []
+                at = tuple(keys[start])
+                held.append(batch.slice(start, end - start))
+            if found:
+                yield as_batch(found)
+        if held:
+            yield as_batch([linked(held)])
+
+    def linked(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return link({n: table.column(n).to_pylist() if table.column(n).type == pa.binary() else table.column(n).to_numpy() for n in names})
+
+    def as_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def most_odd(percent: int) -> int:
+    """The most places at which two sketches may differ, for their estimate to be at least `least_estimate`."""
+    return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * SAMPLES * (1 - least_estimate(percent)) * 2 / SKETCH_BITS)) + 1e-9)
+
+
+def joined_across(block: dict[str, list], percent: int, confirmed: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The links by which classes of different components are joined. Each class meets all later ones that aren't of its
+    component by then, whose sizes and sketches allow it and that `confirmed` leaves."""
+    rep, size = block["rep"], block["n_shingles"]
+    component = np.unique(block["component"], return_inverse=True)[1]
+    sketch = np.frombuffer(b"".join(block["sketch"]), np.uint64).reshape(len(rep), -1)
+    ends, most = ([], []), most_odd(percent)
+    for i in range(len(rep) - 1):
+        others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+        if not len(others):
+            break
+        others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
+        others = others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
+        if len(others):
+            others = confirmed(i, others)
+            new, first = np.unique(component[others], return_index=True)
+            ends[0].extend([rep[i]] * len(new))
+            ends[1].extend(rep[others[first]])
+            component[np.isin(component, new)] = component[i]
+    return np.array(ends[0], np.int64), np.array(ends[1], np.int64)
+
+
+def possible(met: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join all components between which a pair of one bucket is possible by sizes and sketches."""
+    placed = met.join(components, met["rep"] == components["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    whole = W.partitionBy("key")
+    mixed_rows = placed.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole), "n": F.count("*").over(whole)}).where("low <> high")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = mixed_rows.select("key", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
+    described = classes.select("rep", "n_shingles", as_bytes("sketch").alias("sketch"))
+    return in_blocks(rows.join(described, "rep"), lambda block: joined_across(block, percent, lambda _, others: others))
+
+
+def as_bytes(longs: str) -> Column:
+    """An array of longs as bytes, the first one's highest byte first: what is compared bit by bit may stand in any order."""
+    return F.unhex(F.array_join(F.transform(longs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def link_families(links: DataFrame, maybe: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links by full sets between the components that `maybe` joins to a family. All classes of a family meet, in one
+    task or in blocks, and a pair within one component is never looked at, so sets are sent once, not once a pair."""
+    families = connected_components(links.union(maybe), "a", "b").withColumnRenamed("component", "key")
+    open_families = families.join(maybe.select(F.col("a").alias("node")), "node").select("key").distinct()
+    members = families.join(open_families, "key", "left_semi").join(components, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
+    sizes = members.join(sets.select("rep", "n_shingles"), "rep").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+
+    def link(block: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(h) // 8 for h in block["hashes"]])
+        words, flat = np.unique(np.frombuffer(b"".join(block["hashes"]), np.int64), return_inverse=True)
+        starts, has = np.cumsum(size) - size, np.zeros(len(words), bool)
+
+        def confirmed(i: int, others: np.ndarray) -> np.ndarray:
+            own = flat[starts[i] : starts[i] + size[i]]
+            has[own] = True
+            firsts = np.cumsum(size[others]) - size[others]
+            common = np.add.reduceat(has[flat[np.repeat(starts[others] - firsts, size[others]) + np.arange(size[others].sum())]], firsts, dtype=np.int64)
+            has[own] = False
+            return others[100 * common >= percent * (size[i] + size[others] - common)]
+
+        return joined_across(block, percent, confirmed)
+
+    return in_blocks(dealt.join(sets, "rep").select("key", "part", "parts", "rep", "component", "n_shingles", "sketch", "hashes"), link)
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHOLD) -> DataFrame:
@@ -226,27 +311,20 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = THRESHO
     ship_package(documents.sparkSession)
     small_batches(documents.sparkSession)
     documents = keep_columns(documents, "doc_id", "text")
-    described = cut(sketches(documents, width))
+    described = stored(sketches(documents, width))
     alive = described.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]))
-    banded = classes.select("rep", F.explode("bands").alias("key"))
-    pairs = cut(sketched(leader_pairs(banded), classes, percent))
-    reps = cut(sharing(banded))
-    sets = cut(sets_of(documents, reps, width))
+    classes = stored(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]))
+    met = cut(in_shared(classes.select("rep", F.explode("bands").alias("key"))))
+    reps = cut(met.select("rep").distinct())
+    near_any = stored(joined_ids(classes.select("rep", "sketch", "n_shingles"), reps))
+    pairs = cut(sketched(leader_pairs(met), near_any, percent))
+    sets = stored(sets_of(documents, reps, width))
     links = cut(confirm(pairs, sets, percent))
-    most, linking = MANY * reps.count(), True
-    banded = banded.join(reps, "rep", "left_semi")
-    while True:
-        components = connected_components(links, "a", "b")
-        left = cut(across_components(banded, classes, components, percent))
-        some = linking and (left.agg(F.sum(F.size("others"))).first()[0] or 0) > most
-        further = cut(confirm(cut(most_similar(left) if some else as_pairs(left)), sets, percent))
-        linking = not further.isEmpty()
-        links = links.union(further)
-        if not some:
-            break
-    if linking:
-        components = connected_components(links, "a", "b")
+    components = connected_components(links, "a", "b")
+    maybe = cut(possible(met, near_any, components, percent))
+    if not maybe.isEmpty():
+        further = cut(link_families(links, maybe, components, sets, percent))
+        components = connected_components(links.union(further), "a", "b")
     of_class = classes.select("set_key", "rep").join(components, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     return described.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -193,3 +193,23 @@ def test_copies_of_copies_are_confirmed_in_few_pairs(spark, monkeypatch):
     sets = [minhash.shingles(t, 2) for t in texts]
     assert all(100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets, sets[1:], strict=False))
     assert {r["component_id"] for r in found} == {0} and sum(asked) < 8 * len(texts)
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_unlike_copies_of_one_text_are_not_confirmed_pair_by_pair(spark, monkeypatch, block):
+    """Near copies about the threshold: sketches can't tell most of them apart, few are linked, and only the pairs with
+    leaders are joined as rows; the rest meets in one task, or in blocks of parts."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(f"w{rng.randrange(10**6)}" if rng.random() < 0.038 else w for w in base) for _ in range(120)]
+    sets, parts = [minhash.shingles(t, 2) for t in texts], {k: k for k in range(len(texts))}
+    for a, b in combinations(parts, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((parts[a], parts[b]))
+            parts = {k: low if v == high else v for k, v in parts.items()}
+    asked, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *rest: asked.append(pairs.count()) or confirm(pairs, *rest))
+    found = minhash.near_duplicate_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == parts and len(set(parts.values())) > 5
+    assert sum(asked) <= minhash.LEADERS * len(texts)
