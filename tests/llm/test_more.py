@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -213,3 +214,16 @@ def test_unlike_copies_of_one_text_are_not_confirmed_pair_by_pair(spark, monkeyp
     found = minhash.near_duplicate_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == parts and len(set(parts.values())) > 5
     assert sum(asked) <= minhash.LEADERS * len(texts)
+
+
+def test_rows_of_blocks_are_stored_as_tables_and_go(spark, monkeypatch):
+    """A block's rows, the most of line dedup, are never checkpointed row by row; of their tables only the dealt classes stay."""
+    checkpointed, tables, cut, stored = [], [], line_dedup.cut, line_dedup.stored
+    monkeypatch.setattr(line_dedup, "cut", lambda frame: checkpointed.append(frame.columns) or cut(frame))
+    monkeypatch.setattr(line_dedup, "stored", lambda frame: tables.append(stored(frame)) or tables[-1])
+    texts = ["the quick brown foxes jumped over lazy dogs today", "the quick brown foxes jumped over lazy dogs todax", "the quick brown foxes jumped over lazy cats elsewhere"]
+    found = line_dedup.deduplicated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {0: 0, 1: 1, 2: 0}
+    assert not [c for c in checkpointed if "block" in c]
+    kept = [set(t.columns) for t in tables if any(Path(f.removeprefix("file://")).exists() for f in t.inputFiles())]
+    assert len(tables) > 3 and kept[1:] == [{"block", "id", "simhash", "length"}]
