@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ CACHE_CHUNKS = 200_000
 CACHE_LINKS = 50_000
 CACHE_LENGTH = 32
 CACHE_PAIRS = 200_000
+#: Steps to shorter ends that the pieces' automaton remembers, some 20 MB.
+CACHE_STEPS = 200_000
 
 
 class Halves(dict):
@@ -69,6 +72,23 @@ class Halves(dict):
         return value
 
 
+class State(dict):
+    """A state of the pieces' automaton: the states that characters lead to, the arcs (length and id, longest first) that
+    end here, and the state of the longest shorter end of what was read (None at the beginning)."""
+
+    __slots__ = ("arcs", "back", "room")
+
+    def __init__(self, arcs: tuple[tuple[int, int], ...], room: list[int]):
+        self.arcs, self.back, self.room = arcs, None, room
+
+    def __missing__(self, character: str) -> State:
+        state = self if self.back is None else self.back[character]
+        if self.room[0]:
+            self.room[0] -= 1
+            self[character] = state
+        return state
+
+
 @dataclass
 class Transducer:
     pieces: list[str]
@@ -106,12 +126,15 @@ class Transducer:
         self._tied = {s for s, n in merged.items() if n > 1}
         self._spines: dict[int, tuple[list[str], list[str]] | None] = {}
         self._joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self._tails = self._compile_tails()
+        self._arcs = self._compile_arcs() if self.algorithm == BPE else None
         self._chunks = Halves(self._encode_chunk, CACHE_CHUNKS)
         self._links = Halves(self._encode_link, CACHE_LINKS)
         self._pairs = Halves(self._follows, CACHE_PAIRS)
         self._cut = self._compile_cut()
         self._bytes = [self._surface(i) for i in range(len(self.pieces))]
+        self._starts = np.array([bool(b) for b in self._bytes])
+        # What each id stands for, and again for an id at a text's start.
+        self._surfaces = pa.array(self._bytes + [b[b[:1] == b" " :] if self.dummy_prefix else b for b in self._bytes], pa.large_binary())
 
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> Transducer:
@@ -159,13 +182,33 @@ class Transducer:
             text = text + " " if self.space_suffix else " " + text
         return text.replace(" ", SPACE_MARK) if self.escape_spaces else text
 
-    def _compile_tails(self) -> dict[str, tuple[int, ...]]:
-        """Lengths that a piece ending in these three characters can have, longest first: the arcs into a state."""
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 2:
-                lengths.setdefault(p[-3:], {2, 1}).add(len(p))
-        return {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items()}
+    def _compile_arcs(self) -> State:
+        """The pieces as an automaton that reads a text once: each state has the arcs that end where it is reached."""
+        room = [CACHE_STEPS]
+        begin, level = State((), room), []
+        for p, i in self.ids.items():
+            state = begin
+            for c in p:
+                child = dict.get(state, c)
+                if child is None:
+                    child = state[c] = State((), room)
+                state = child
+            state.arcs = ((len(p), i),)
+        for child in begin.values():
+            child.back = begin
+            level.append(child)
+        while level:
+            below = []
+            for state in level:
+                state.arcs += state.back.arcs
+                for c, child in list(state.items()):
+                    back = state.back
+                    while back is not begin and c not in back:
+                        back = back.back
+                    child.back = dict.get(back, c, begin)
+                    below.append(child)
+            level = below
+        return begin
 
     def _compile_cut(self) -> re.Pattern[str] | None:
         """A pattern whose matches are the chunks of a normalised text, or None if spaces occur inside pieces."""
@@ -246,15 +289,13 @@ class Transducer:
                 j += 1
 
     def _bpe_path(self, chunk: str) -> list[int]:
-        get, pairs, tails, width = self.ids.get, self._pairs, self._tails, len(self.pieces)
+        state, pairs, width = self._arcs, self._pairs, len(self.pieces)
         last, start = [-1], [0]
-        for end in range(1, len(chunk) + 1):
-            for length in tails.get(chunk[end - 3 : end] if end > 2 else "", (2, 1)):
+        for end, c in enumerate(chunk, 1):
+            state = state[c]
+            for length, piece in state.arcs:
                 begin = end - length
-                if begin < 0:
-                    continue
-                piece = get(chunk[begin:end])
-                if piece is not None and pairs[(last[begin] + 1) * width + piece]:
+                if pairs[(last[begin] + 1) * width + piece]:
                     last.append(piece)
                     start.append(begin)
                     break
@@ -338,6 +379,25 @@ class Transducer:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
+    def decode_rows(self, rows: pa.ListArray) -> pa.Array:
+        """`decode` of each list of ids, side by side: what the ids of all rows stand for is one run of bytes, which the
+        rows' ends cut. Rows of bytes that aren't UTF-8, or that start with an id of no bytes, are decoded one by one."""
+        valid = rows.is_valid().to_numpy(zero_copy_only=False)
+        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        ids = np.array(rows.flatten().to_numpy(zero_copy_only=False), np.int64)
+        first = ends[:-1][sizes > 0]
+        if self._starts[ids[first]].all():
+            ids[first] += len(self._bytes)
+            _, places, raw = self._surfaces.take(pa.array(ids)).buffers()
+            cuts = np.frombuffer(places, np.int64, len(ids) + 1)[ends]
+            texts = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(cuts), raw if raw is not None else pa.py_buffer(b"")])
+            try:
+                return pc.if_else(pa.array(valid), texts.cast(pa.string()), pa.scalar(None, pa.string()))
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([self.decode(row.values.to_numpy()) if row.is_valid else None for row in rows], pa.string())
+
 
 def read_charsmap(blob: bytes) -> dict[str, str]:
     """Keys and replacements of a compiled character map: the size of a double-array trie over UTF-8 bytes, the trie, and
@@ -418,7 +478,7 @@ def decode_ids(frame: DataFrame, model_path: str = MODEL_PATH, ids: str = "token
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         transducer = compiled(shared.value)
         for batch in batches:
-            yield pa.array([None if not row.is_valid else transducer.decode(row.values.to_numpy()) for row in batch], pa.string())
+            yield transducer.decode_rows(batch)
 
     return frame.withColumn(into, decode(ids))
 

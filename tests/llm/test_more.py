@@ -252,3 +252,19 @@ def test_shuffles_go_with_their_execution(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in found} == {0: 0, 1: 1, 2: 0}
     assert len(left) > 5 and not [x for x in left if x[1]]
     assert spark.conf.get(lineage.CLEANUP, None) == setting
+
+
+def test_rows_decode_side_by_side_and_pieces_end_where_the_automaton_says(monkeypatch):
+    """Ids of all rows are decoded at once, one by one only if the bytes aren't UTF-8; each state has all pieces that end there."""
+    model = sentencepiece_wfst.Transducer.load()
+    texts = ["two  words", None, "", " a space before", "日本 🎉 ünï", "x" * 40, "unbelievable"]
+    rows = sentencepiece_wfst.arrow_lists([None if t is None else model.encode_packed(t) for t in texts])
+    odd = sentencepiece_wfst.arrow_lists([np.array(ids, np.int32).tobytes() for ids in ([1, *model.encode("after a control id")], [model.byte_ids[0xFF]], model.encode("fine"))])
+    one_by_one = [[None if ids is None else model.decode(ids) for ids in x.to_pylist()] for x in (rows, odd)]
+    assert model.decode_rows(odd).to_pylist() == one_by_one[1] and "�" in one_by_one[1][1]
+    monkeypatch.setattr(model, "decode", None)
+    assert model.decode_rows(rows).to_pylist() == one_by_one[0] and model.decode_rows(rows[3:6]).to_pylist() == one_by_one[0][3:6]
+    state, text = model._arcs, "▁unbelievable日本▁internationally"
+    for end, c in enumerate(text, 1):
+        state = state[c]
+        assert [(n, i) for n in range(end, 0, -1) if (i := model.ids.get(text[end - n : end])) is not None] == list(state.arcs)
